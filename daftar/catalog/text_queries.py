@@ -295,7 +295,7 @@ def _(t):
 @query(
     "parse_sections",
     """
-    SELECT l_orderkey AS doc_id, CAST(l_linenumber - 1 AS BIGINT) * 2 AS pos, 'Section_' || l_linenumber AS anchor,
+    SELECT l_orderkey AS doc_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1) * 2 AS pos, 'Section_' || l_linenumber AS anchor,
            'Part ' || l_returnflag || ' & more (' || l_linenumber || '-' || CAST(l_quantity AS BIGINT) || ')' AS label,
            CAST(l_linenumber AS BIGINT) AS first_article, CAST(l_quantity AS BIGINT) AS last_article, l_returnflag = 'R' AS preamble
     FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS copy FROM lineitem) x WHERE copy = 1

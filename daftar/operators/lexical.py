@@ -74,5 +74,7 @@ def lexical_search(
     scored = scored.select(
         "query_id", "chunk_id", (F.col("mass") * S.LEXICAL_POSITION_WEIGHT).alias("score")
     )
-    order = [F.col("score").desc(), F.col("chunk_id")]
+    # Weighted sums depend on the order of addition in their last bits; ten decimals make ties ties.
+    key = F.round("score", 10) if idf else F.col("score")
+    order = [key.desc(), F.col("chunk_id")]
     return top_k(scored, ["query_id"], order, limit).withColumn("source", F.lit("lexical"))
