@@ -117,16 +117,17 @@ class Tables:
 
     @cached_property
     def labelled(self) -> DataFrame:
-        """Labelled documents as pairs: a good document cites its source, a bad one cites nothing."""
+        """Labelled documents as pairs, four to a source; a good one cites it, a bad one cites nothing."""
         rows = self.read("labels").join(self.read("documents"), "doc_id")
-        cites = F.array(F.concat("source", F.lit(":p:0")))
+        source = F.concat(F.lit("src"), F.floor(F.col("doc_id") / 4).cast("string"))
+        cites = F.array(F.concat(source, F.lit(":p:0")))
         none = F.array().cast("array<string>")
         return rows.select(
             F.concat(F.lit("p"), "doc_id").alias("query_id"),
             F.col("text").alias("question"),
             F.when(F.col("doc_id") % 2 == 0, "msa").otherwise("gulf").alias("dialect_tag"),
             F.substring_index("text", ".", 1).alias("answer"),
-            F.col("source").alias("source_doc"),
+            source.alias("source_doc"),
             F.when(F.col("quality") == 1, cites).otherwise(none).alias("source_chunk_ids"),
             F.when(F.col("doc_id") >= 10, F.concat(F.lit("p"), (F.col("doc_id") - 10).cast("string"))).alias("derived_from"),
         )
@@ -270,8 +271,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """
         SELECT 'p' || doc_id AS query_id, text AS question, CASE WHEN doc_id % 2 = 0 THEN 'msa' ELSE 'gulf' END AS dialect_tag,
-               split_part(text, '.', 1) AS answer, source AS source_doc,
-               CASE WHEN quality = 1 THEN [source || ':p:0'] ELSE [] END AS source_chunk_ids,
+               split_part(text, '.', 1) AS answer, 'src' || (doc_id // 4) AS source_doc,
+               CASE WHEN quality = 1 THEN ['src' || (doc_id // 4) || ':p:0'] ELSE [] END AS source_chunk_ids,
                CASE WHEN doc_id >= 10 THEN 'p' || (doc_id - 10) END AS derived_from
         FROM labels JOIN documents USING (doc_id)
         """,
