@@ -254,11 +254,13 @@ def _(t):
 
 @query(
     "dangling_citations",
-    "SELECT query_id, c AS chunk_id FROM (SELECT query_id, unnest(source_chunk_ids) AS c FROM labelled) l WHERE 'doc-' || substr(c, 4) NOT IN (SELECT id FROM chunks)",
+    "SELECT query_id, c AS chunk_id FROM (SELECT query_id, unnest(source_chunk_ids) AS c FROM labelled) l WHERE 'doc-' || split_part(substr(c, 4), ':', 1) || ':p:1' NOT IN (SELECT id FROM chunks)",
     ("labelled", "chunks"),
 )
 def _(t):
-    named = t.chunks.withColumn("id", F.concat(F.lit("src"), F.substring("id", 5, 100)))
+    # the corpus of second chunks: documents short enough for one chunk leave their citations dangling
+    later = t.chunks.where("seq = 1").select("doc_id")
+    named = later.select(F.concat(F.lit("src"), F.substring("doc_id", 5, 100), F.lit(":p:0")).alias("id"))
     return A.dangling_citations(t.labelled, named)
 
 

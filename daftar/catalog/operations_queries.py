@@ -156,9 +156,9 @@ def _(t):
     return nearest_rank(t.events.withColumnRenamed("user_id", "user"), ["user"], "value", {"p50": 0.5, "p90": 0.9})
 
 
-@query("stage_summary", _SUMMARY)
+@query("stage_summary", f"SELECT stage, n, p50, p95, budget FROM ({_SUMMARY}) s")
 def _(t):
-    return O.stage_summary(_samples(t), O.budget_table(t.spark))
+    return O.stage_summary(_samples(t), O.budget_table(t.spark)).drop("position")
 
 
 @query(
