@@ -458,3 +458,15 @@ def _(t):
 def _(t):
     current = t.read("documents").where("lang <> 'fr'").select(F.concat(F.lit("p"), "doc_id").alias("query_id"))
     return Z.score_drift(t.scored, current)
+
+
+@query(
+    "threshold_sweep_by_dialect",
+    _TAGGED + _GRID + """SELECT dialect_tag, threshold, CAST(sum(CASE WHEN NOT answerable AND top_score < threshold THEN 1 ELSE 0 END) AS BIGINT) AS true_refusals,
+       CAST(sum(CASE WHEN answerable AND top_score < threshold THEN 1 ELSE 0 END) AS BIGINT) AS false_refusals FROM grid CROSS JOIN tagged GROUP BY dialect_tag, threshold""",
+    ("scored", "labelled"),
+)
+def _(t):
+    tags = t.labelled.select(F.col("query_id").alias("pair_id"), "dialect_tag")
+    points = Z.sweep(t.scored.join(tags, "pair_id"), Z.thresholds(), ["dialect_tag"])
+    return points.select("dialect_tag", "threshold", "true_refusals", "false_refusals")
