@@ -302,15 +302,15 @@ _SETS = f"""
 
 @query(
     "near_duplicates",
-    ", turns AS (SELECT conv_id || '-' || turn AS query_id, text AS question FROM conversations)" + _SETS + """
-    , j AS (SELECT a.id, b.id AS other, a.members * b.members AS pairs, len(list_intersect(a.tokens, b.tokens)) AS c, len(a.tokens) + len(b.tokens) AS s FROM sets a JOIN sets b ON a.id < b.id)
-    SELECT id, other, round(c / (s - c), 6) AS jaccard, pairs FROM j WHERE c / (s - c) >= 0.5
+    ", turns AS (SELECT doc_id AS query_id, text AS question FROM docs)" + _SETS + """
+    , j AS (SELECT a.id, b.id AS other, a.members * b.members AS pairs, len(list_intersect(a.tokens, b.tokens)) AS c, len(a.tokens) + len(b.tokens) AS s
+       FROM sets a JOIN sets b ON a.id < b.id AND 10 * len(a.tokens) >= 8 * len(b.tokens) AND 10 * len(b.tokens) >= 8 * len(a.tokens))
+    SELECT id, other, round(c / (s - c), 6) AS jaccard, pairs FROM j WHERE c / (s - c) >= 0.8
     UNION ALL SELECT id, id, 1.0, CAST(members * (members - 1) / 2 AS BIGINT) FROM sets WHERE members > 1""",
-    ("q",),
+    ("docs",),
 )
 def _(t):
-    rows = t.read("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("question"))
-    return A.near_duplicates(rows, 0.5)
+    return A.near_duplicates(t.docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("question")), 0.8)
 
 
 @query("leakage")

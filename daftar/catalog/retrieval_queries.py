@@ -464,7 +464,7 @@ def _half_embedded(t):
 
 @query(
     "backfill",
-    "SELECT label, count(*) AS n, CAST(sum(CASE WHEN label % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS kept, count(*) AS filled FROM embeddings GROUP BY label",
+    "SELECT CAST(label AS BIGINT) AS label, count(*) AS n, CAST(sum(CASE WHEN label % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS kept, count(*) AS filled FROM embeddings GROUP BY label",
 )
 def _(t):
     before = _half_embedded(t)

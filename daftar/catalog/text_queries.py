@@ -134,14 +134,14 @@ def _(t):
     return rows.select("vec_id", F.aggregate("u", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("u").alias("dim"))
 
 
-@query("check_dims", "SELECT label, count(*) AS n, CAST(sum(CASE WHEN len(embedding) = 64 THEN 1 ELSE 0 END) AS BIGINT) AS fits FROM embeddings GROUP BY label")
+@query("check_dims", "SELECT CAST(label AS BIGINT) AS label, count(*) AS n, CAST(sum(CASE WHEN len(embedding) = 64 THEN 1 ELSE 0 END) AS BIGINT) AS fits FROM embeddings GROUP BY label")
 def _(t):
     checked = t.vectors.select("label", V.dims_reject_reason("embedding", 64).alias("reason"), V.check_dims("embedding", 64).alias("v"))
     return checked.groupBy("label").agg(F.count("v").alias("n"), F.count_if(F.col("reason").isNull()).alias("fits"))
 
 
 @query(
-    "pipeline_key",
+    "answer_scope_key",
     """SELECT event_id, event_type || '|r20|c' || (user_id % 7) || '|rr' || CASE WHEN value > 10 THEN '1' ELSE '0' END || '|p:' || user_id AS k FROM events""",
 )
 def _(t):
@@ -176,7 +176,7 @@ def _(t):
 
 @query(
     "cited_scores",
-    """SELECT event_id, pos, chunk_id, round(score, 6) AS score FROM (
+    """SELECT event_id, CAST(pos AS BIGINT) AS pos, chunk_id, round(score, 6) AS score FROM (
        SELECT event_id, 0 AS pos, 'd' || user_id || ':p:0' AS chunk_id, 0.0::DOUBLE AS score FROM events
        UNION ALL SELECT event_id, 1, event_type || ':1:0', value FROM events) u""",
 )
