@@ -16,7 +16,7 @@ HEADLINE = (
     "normalize_for_index", "tokens", "chunk_documents", "strip_html", "redact_documents", "plan_rules",
     "lexical_search", "lexical_search_idf", "dense_search", "hybrid_search", "rerank", "fit_context", "evaluate",
     "cache_lookup", "threshold_sweep", "auc", "stage_summary", "counter_increases", "sliding_window_admission",
-    "near_duplicates", "upsert", "source_urls",
+    "upsert", "source_urls",
 )
 
 
