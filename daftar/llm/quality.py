@@ -235,7 +235,7 @@ def estimates(rows: DataFrame, scratch: Scratch, share: float = 0.75, steps: int
     return current
 
 
-def verdicts(docs: DataFrame, least: int = 200, tail: float = 1e-5, share: float = 0.75, steps: int = 5) -> DataFrame:
+def verdicts(docs: DataFrame, least: int = 200, tail: float = 1e-6, share: float = 0.75, steps: int = 5) -> DataFrame:
     """doc_id, the counts, base_failed, distance and kept for every row of ``docs``.
 
     Estimates are made per language and source of at least ``least`` passing texts. Smaller ones of
