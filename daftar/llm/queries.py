@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import decontaminate, language, licences, quality, simhash
+from daftar.llm import bpe, decontaminate, language, licences, quality, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,36 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_benchmark_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def tokenizer() -> tuple[str, str]:
+    """Where the rank file of the byte-level BPE is on this machine, and its pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op4_byte_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = tokenizer()
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), bpe.read_ranks(spark, path), pattern)
+
+
+_HEX5 = "('0x' || substr(sha1(encode(coalesce(html, ''))), {at}, 5))::INT"
+_LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({number} >> {shift}) & 31) + 1, 1)"
+_BASE32 = " || ".join(
+    _LETTER.format(number=_HEX5.format(at=5 * part + 1), shift=shift) for part in range(8) for shift in (15, 10, 5, 0)
+)
+
+
+@query(
+    "op6_warc",
+    f"""
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, {_BASE32} AS payload_digest FROM pages),
+         f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_all(table(spark, sf_dir, "pages"))
