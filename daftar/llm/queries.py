@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import bpe, decontaminate, language, licences, quality, simhash, warc
+from daftar.llm import bpe, decontaminate, language, licences, linkgraph, quality, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,8 @@ _BASE32 = " || ".join(
 )
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_all(table(spark, sf_dir, "pages"))
+
+
+@query("op3_url_filters", linkgraph.sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkgraph.judge(table(spark, sf_dir, "pages"))
