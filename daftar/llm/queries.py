@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import bpe, decontaminate, language, licences, linkgraph, quality, simhash, warc
+from daftar.llm import bpe, decontaminate, language, licences, linkgraph, quality, quotes, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_url_filters", linkgraph.sql())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op9_quotation_linking", quotes.SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(table(spark, sf_dir, "conversations"))
