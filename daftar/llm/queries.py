@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import bpe, decontaminate, language, licences, linkgraph, quality, quotes, simhash, warc
+from daftar.llm import bpe, decontaminate, language, licences, linkgraph, quality, quotes, secrets, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quotation_linking", quotes.SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link(table(spark, sf_dir, "conversations"))
+
+
+@query("op2_secret_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
