@@ -17,26 +17,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def tidy(df: DataFrame) -> DataFrame:
-    """Integers as long, doubles at six decimals: the edge where results are reported."""
+MONEY = 9  # decimals: more than any cost has, so that none is a tie
+
+
+def tidy(df: DataFrame, places: int = 6) -> DataFrame:
+    """Integers as long, doubles at ``places`` decimals: the edge where results are reported."""
     columns = []
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (t.IntegerType, t.ShortType, t.ByteType)):
             column = column.cast("long")
         elif isinstance(field.dataType, (t.DoubleType, t.FloatType, t.DecimalType)):
-            column = F.round(column.cast("double"), 6)
+            column = F.round(column.cast("double"), places)
         columns.append(column.alias(field.name))
     return df.select(*columns)
 
 
-def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
+def query(name: str, sql: str | None = None, uses: tuple[str, ...] = (), places: int = 6):
     """Register a query over :class:`Tables`, with the SQL it must agree with where SQL can say it."""
 
     def register(build: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name!r} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: tidy(build(Tables(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: tidy(build(Tables(spark, sf_dir)), places)
         if sql is not None:
             ORACLES[name] = with_ctes(sql, uses)
         return build
@@ -103,7 +106,7 @@ class Tables:
     def pairs(self) -> DataFrame:
         """Labelled pairs: gold chunks contain the question; tags alternate; answer is the first line."""
         gold = self.qrels.groupBy("query_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("source_chunk_ids"))
-        number = F.substring("query_id", 2, 20).cast("long")
+        number = F.substr("query_id", F.lit(2)).cast("long")
         joined = self.queries.join(gold, "query_id", "left")
         ids = F.coalesce("source_chunk_ids", F.array().cast("array<string>"))
         return joined.select(

@@ -234,11 +234,11 @@ def _(t):
         round(avg(len(list_filter(regexp_split_to_array(question, '[{WS}]+'), lambda w: w <> ''))), 6) AS mean_words,
         CAST(min(length(question)) AS BIGINT) AS min_chars, CAST(max(length(question)) AS BIGINT) AS max_chars,
         CAST(sum(len(source_chunk_ids)) AS BIGINT) AS citations, count(DISTINCT source_chunk_ids[1]) AS cited_chunks,
-        round(count(DISTINCT source_chunk_ids[1]) / 1000.0::DOUBLE, 6) AS coverage FROM labelled""",
+        round(count(DISTINCT source_chunk_ids[1]) / (SELECT count(*) FROM documents)::DOUBLE, 6) AS coverage FROM labelled""",
     ("labelled",),
 )
 def _(t):
-    return A.composition(t.labelled, 1000)
+    return A.composition(t.labelled, t.read("documents"))
 
 
 @query(
@@ -260,7 +260,7 @@ def _(t):
 def _(t):
     # the corpus of second chunks: documents short enough for one chunk leave their citations dangling
     later = t.chunks.where("seq = 1").select("doc_id")
-    named = later.select(F.concat(F.lit("src"), F.substring("doc_id", 5, 100), F.lit(":p:0")).alias("id"))
+    named = later.select(F.concat(F.lit("src"), F.substr("doc_id", F.lit(5)), F.lit(":p:0")).alias("id"))
     return A.dangling_citations(t.labelled, named)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from daftar import settings as S
-from daftar.catalog.base import query
+from daftar.catalog.base import MONEY, query
 from daftar.operators import ledger as G
 from daftar.operators import opsmetrics as O
 from daftar.operators.ordered import nearest_rank
@@ -39,7 +39,8 @@ _PRICED = f"SELECT *, (input_tokens * {_price(0)} + output_tokens * {_price(1)})
 
 @query(
     "prefix_priced",
-    f"SELECT event_id, round(cost_usd, 6) AS cost_usd, CASE WHEN cost_usd IS NULL THEN 'no price' END AS reject_reason FROM ({_PRICED}) p",
+    f"SELECT event_id, round(cost_usd, 9) AS cost_usd, CASE WHEN cost_usd IS NULL THEN 'no price' END AS reject_reason FROM ({_PRICED}) p",
+    places=MONEY,
 )
 def _(t):
     return G.prefix_priced(_usage(t)).select("event_id", "cost_usd", "reject_reason")
@@ -48,9 +49,10 @@ def _(t):
 @query(
     "completed_usage",
     f"""SELECT event_id, output_tokens, round(CASE model WHEN 'claude-haiku-4-5-20251001' THEN (input_tokens * 1.0 + output_tokens * 5.0) / 1000000
-        WHEN 'gemini-2.5-flash' THEN (input_tokens * 0.3 + output_tokens * 2.5) / 1000000 END, 6) AS cost_usd,
+        WHEN 'gemini-2.5-flash' THEN (input_tokens * 0.3 + output_tokens * 2.5) / 1000000 END, 9) AS cost_usd,
         CASE WHEN model NOT IN ('claude-haiku-4-5-20251001', 'gemini-2.5-flash') THEN 'no price' END AS reject_reason
         FROM (SELECT event_id, model, input_tokens, CASE WHEN output_tokens = 0 THEN length(text) // 3 ELSE output_tokens END AS output_tokens FROM ({_USAGE}) u) v""",
+    places=MONEY,
 )
 def _(t):
     return G.completed_usage(_usage(t)).select("event_id", "output_tokens", "cost_usd", "reject_reason")
@@ -58,8 +60,9 @@ def _(t):
 
 @query(
     "daily_spend",
-    f"""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, round(sum(cost_usd), 6) AS usd, count(*) AS calls, round(greatest(0, 0.5 - sum(cost_usd)), 6) AS remaining
+    f"""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, round(sum(cost_usd), 9) AS usd, count(*) AS calls, round(greatest(0, 0.5 - sum(cost_usd)), 9) AS remaining
         FROM ({_PRICED}) p WHERE cost_usd IS NOT NULL GROUP BY 1""",
+    places=MONEY,
 )
 def _(t):
     return G.daily_spend(G.prefix_priced(_usage(t)).where("cost_usd IS NOT NULL"), 0.5)

@@ -41,7 +41,7 @@ def _(t):
 
 @query("normalize_for_index", f"SELECT doc_id, {sql_norm('text')} AS n FROM documents")
 def _(t):
-    return t.docs.select(F.substring("doc_id", 5, 20).cast("long").alias("doc_id"), T.normalize_for_index("text").alias("n"))
+    return t.docs.select(F.substr("doc_id", F.lit(5)).cast("long").alias("doc_id"), T.normalize_for_index("text").alias("n"))
 
 
 @query("normalize_query", f"SELECT conv_id, turn, {sql_norm('text')} AS n FROM conversations")
@@ -161,16 +161,17 @@ def _(t):
 @query(
     "document_validation",
     f"""SELECT page_id, CASE
+        WHEN page_id % 5 = 0 AND length(url) > 128 THEN 'doc_id: too long'
         WHEN contains(url, ':') AND page_id % 5 = 0 THEN 'doc_id: colon'
         WHEN page_id % 5 = 1 THEN 'doc_id: bad characters'
-        WHEN length(html) > 6000 THEN 'title: too long'
+        WHEN length(html) BETWEEN 6001 AND 200000 THEN 'title: too long'
+        WHEN length(html) > 200000 THEN 'text: too long'
         WHEN length(url) > 2048 THEN 'source_url: too long'
         WHEN NOT starts_with(url, 'http') THEN 'source_url: not http(s)' END AS reason FROM pages""",
 )
 def _(t):
     doc_id = F.when(F.col("page_id") % 5 == 0, F.col("url")).when(F.col("page_id") % 5 == 1, F.lit("-x")).otherwise(F.col("page_id").cast("string"))
-    doc_id = F.when(F.length(doc_id) > 128, F.substring(doc_id, 1, 100)).otherwise(doc_id)
-    rows = t.read("pages").select("page_id", doc_id.alias("doc_id"), F.when(F.length("html") > 6000, F.col("html")).otherwise("t").alias("title"), F.substring("html", 1, 200_000).alias("text"), F.col("url").alias("source_url"))
+    rows = t.read("pages").select("page_id", doc_id.alias("doc_id"), F.when(F.length("html").between(6001, 200_000), F.col("html")).otherwise("t").alias("title"), F.col("html").alias("text"), F.col("url").alias("source_url"))
     return rows.select("page_id", T.document_reject_reason("doc_id", "title", "text", "source_url").alias("reason"))
 
 
@@ -356,11 +357,22 @@ def _(t):
 
 @query(
     "scrub_fields",
-    "SELECT conv_id, turn, '[redacted]' AS email, '[redacted]' AS answer, role FROM conversations",
+    """SELECT conv_id, turn, '[redacted]' AS email, '[redacted]' AS answer, role,
+        '{"role":"' || role || '","apiKey":"[redacted]","inner":{"note":"plain","pass_word":"[redacted]"}}' AS nested,
+        '["' || role || '","[redacted:id]"]' AS listed,
+        '{"api-key":"[redacted]","turn":"' || turn || '.5","odd":"' || CASE WHEN turn % 2 = 0 THEN 'Infinity' ELSE 'NaN' END || '"}' AS mapped
+        FROM conversations""",
 )
 def _(t):
-    rows = t.read("conversations").select("conv_id", "turn", F.col("text").alias("email"), F.col("text").alias("answer"), "role")
-    return R.scrub_table(rows)
+    inner = F.struct(F.lit("plain").alias("note"), F.lit("x").alias("pass_word"))
+    odd = F.when(F.col("turn") % 2 == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    rows = t.read("conversations").select(
+        "conv_id", "turn", F.col("text").alias("email"), F.col("text").alias("answer"), "role",
+        F.struct("role", F.col("turn").alias("apiKey"), inner.alias("inner")).alias("nested"),
+        F.array("role", F.lit("123-45-6789")).alias("listed"),
+        F.create_map(F.lit("api-key"), F.lit(1.5), F.lit("turn"), F.col("turn") + 0.5, F.lit("odd"), odd).alias("mapped"),
+    )
+    return R.scrub_table(rows).withColumns({c: F.to_json(c) for c in ("nested", "listed", "mapped")})
 
 
 # --- messages ----------------------------------------------------------------------------------------------

@@ -14,8 +14,13 @@ from daftar.functions.text import estimate_tokens
 
 
 def usage_cost(input_tokens, output_tokens, price_in, price_out) -> Column:
-    spent = F.col(input_tokens) * price_in + F.col(output_tokens) * price_out
-    return spent / F.lit(float(S.TOKENS_PER_MILLION))
+    """Money is added up as decimals, six places per price; the double is the nearest to the exact cost."""
+
+    def spent(tokens: str, price: Column) -> Column:
+        return F.col(tokens).cast("decimal(18,0)") * price.cast("decimal(12,6)")
+
+    total = (spent(input_tokens, price_in) + spent(output_tokens, price_out)).cast("decimal(30,6)")
+    return total.cast("double") / F.lit(float(S.TOKENS_PER_MILLION))
 
 
 def price_table(spark: SparkSession, prices: dict[str, tuple[float, float]]) -> DataFrame:

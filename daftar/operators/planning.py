@@ -58,6 +58,11 @@ def _keys(words: Column) -> Column:
     return F.transform(words, lambda w: T.normalize_query(w))
 
 
+def _after(key: Column, start: str) -> Column:
+    """What follows the first ``len(start)`` characters, however long."""
+    return F.substr(key, F.lit(len(start) + 1))
+
+
 def _in(value: Column, words) -> Column:
     return value.isin(*words) if words else F.lit(False)
 
@@ -67,7 +72,7 @@ def detect_register(question, dialect: Dialect = Dialect()) -> Column:
 
     def marked(key: Column) -> Column:
         clitic = key.startswith(dialect.prefix) & (F.length(key) >= dialect.prefix_min)
-        bare = F.substring(key, len(dialect.conjunction) + 1, 1_000_000)
+        bare = _after(key, dialect.conjunction)
         joined = key.startswith(dialect.conjunction) & _in(bare, dialect.markers)
         return _in(key, dialect.markers) | clitic | joined
 
@@ -81,7 +86,7 @@ def rewrite(question, dialect: Dialect = Dialect()) -> Column:
     table = F.create_map(*pairs)
 
     def direct(key: Column) -> Column:
-        rest = F.substring(key, len(dialect.prefix) + 1, 1_000_000)
+        rest = _after(key, dialect.prefix)
         clitic = key.startswith(dialect.prefix) & (F.length(key) >= dialect.prefix_min)
         return F.coalesce(
             F.try_element_at(table, key),
@@ -90,7 +95,7 @@ def rewrite(question, dialect: Dialect = Dialect()) -> Column:
 
     def replaced(part: Column) -> Column:
         key = part.key
-        bare = F.substring(key, len(dialect.conjunction) + 1, 1_000_000)
+        bare = _after(key, dialect.conjunction)
         strips = (
             key.startswith(dialect.conjunction)
             & (F.length(key) > 2)
@@ -138,7 +143,7 @@ def decompose(question, clauses: Clauses = Clauses()) -> Column:
     def asked(segment: Column) -> Column:
         keys = _keys(T.tokens(segment))
         glued = F.filter(keys, lambda k: _in(F.substring(k, 1, 1), clauses.proclitics))
-        bare = F.transform(glued, lambda k: F.substring(k, 2, 1_000_000))
+        bare = F.transform(glued, lambda k: F.substr(k, F.lit(2)))
         words = F.array(*map(F.lit, clauses.asking))
         return F.array_intersect(F.concat(keys, bare), words)
 
