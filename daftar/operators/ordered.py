@@ -11,7 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKETS = 64
+
+def _buckets(df: DataFrame) -> int:
+    """Value buckets per group: as many as a shuffle has partitions, so that they grow with the cluster."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def running_totals(df: DataFrame, by: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
@@ -23,9 +26,12 @@ def running_totals(df: DataFrame, by: Sequence[str], order: str, values: Sequenc
     by = list(by)
     keyed = df if by else df.withColumn("_all", F.lit(0))
     keys = by or ["_all"]
-    cuts = F.array(*(F.lit(i / _BUCKETS) for i in range(1, _BUCKETS)))
+    count = _buckets(df)
+    cuts = F.array(*(F.lit(i / count) for i in range(1, count)))
     edges = keyed.groupBy(*keys).agg(F.percentile_approx(order, cuts, F.lit(1000)).alias("_edges"))
-    placed = keyed.join(edges, keys).withColumn(
+    # Without groups the edges are one row; a join on the literal key would become a Cartesian product.
+    met = keyed.join(edges, keys) if by else keyed.join(F.broadcast(edges.drop("_all")))
+    placed = met.withColumn(
         "_bucket", F.size(F.filter("_edges", lambda e: e < F.col(order)))
     ).drop("_edges")
     totals = placed.groupBy(*keys, "_bucket").agg(*(F.sum(v).alias(f"_t_{v}") for v in values))
