@@ -35,16 +35,18 @@ ARABIC_HEADING = (
 SECTION_TYPE = "array<struct<article:string,body:string>>"
 
 
+_MARK = "\ufdd0"
+
+
 def split_articles(text, heading: str = ARABIC_HEADING) -> Column:
     """Array of (article, body) sections in order; article NULL for text before the first heading.
 
     ``heading`` must capture the article number in group 1. Headings start their line; a heading
     with nothing under it yields no section.
     """
-    # Cheap tests first: a line start, or a decorated line start after the last decoration.
-    starts = (
-        rf"(?md)(?:^|(?<=[{_DECOR}])(?<=^[{_DECOR}]{{1,64}}))(?=[^{_DECOR}])(?={heading})"
-    )
+    # Decoration before a heading stays with what precedes it, however long it is. The mark is a
+    # code point that Unicode keeps for internal use; one that stands in the text is no heading.
+    starts = rf"(?md)^([{_DECOR}]*+)(?={heading})"
     at_head = rf"(?d)\A(?:{heading})"
 
     def section(part: Column) -> Column:
@@ -55,7 +57,7 @@ def split_articles(text, heading: str = ARABIC_HEADING) -> Column:
         return ~T.is_blank(F.regexp_replace(part, at_head, ""))
 
     text = T._col(text)
-    headed = F.transform(F.filter(F.split(text, starts), kept), section)
+    headed = F.transform(F.filter(F.split(F.regexp_replace(F.translate(text, _MARK, ""), starts, f"$1{_MARK}"), _MARK), kept), section)
     whole = F.array(F.struct(F.lit(None).cast("string").alias("article"), text.alias("body")))
     # Most documents have no heading; one anchored scan spares them the splitting.
     return F.when(text.rlike(f"(?md)^(?:{heading})"), headed).otherwise(whole)
