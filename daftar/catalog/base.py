@@ -11,7 +11,7 @@ from pyspark.sql import types as t
 
 from daftar.functions import text as T
 from daftar.operators.chunking import chunk_documents
-from daftar.session import spread
+from daftar.session import spread, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,9 +83,17 @@ class Tables:
         rows = spread(self.read("documents"))
         return rows.select(F.concat(F.lit("doc-"), "doc_id").alias("doc_id"), "text", "lang", "source")
 
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        return stored(df, name, f"{self.sf_dir}/documents.parquet")
+
     @cached_property
     def chunks(self) -> DataFrame:
-        return chunk_documents(self.docs)
+        """The corpus in chunks, split once per application."""
+        return self.stored(chunk_documents(self.docs), "chunks")
+
+    @cached_property
+    def n_chunks(self) -> int:
+        return self.chunks.count()  # a sum over file footers
 
     @cached_property
     def queries(self) -> DataFrame:
@@ -96,7 +104,7 @@ class Tables:
     def index(self) -> DataFrame:
         from daftar.operators.lexical import postings
 
-        return postings(self.chunks)
+        return self.stored(postings(self.chunks), "postings")
 
     @cached_property
     def qrels(self) -> DataFrame:

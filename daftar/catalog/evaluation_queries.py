@@ -31,7 +31,7 @@ def _pairs(t):
 
 
 def _measured(t, idf=False):
-    return M.per_query(_pairs(t), L.lexical_search(t.index, t.queries, idf=idf), t.qrels)
+    return M.per_query(_pairs(t), L.lexical_search(t.index, t.queries, idf=idf, n_chunks=t.n_chunks), t.qrels)
 
 
 @query("per_query_metrics", _MEASURES.format(hits="lex") + f"SELECT query_id, {_ALL} FROM measured", ("pairs", "lex"))
@@ -46,7 +46,7 @@ def _(t):
 )
 def _(t):
     # the list form: at most the retrieval depth per query
-    lists = L.lexical_search(t.index, t.queries, idf=True).groupBy("query_id").agg(
+    lists = L.lexical_search(t.index, t.queries, idf=True, n_chunks=t.n_chunks).groupBy("query_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda h: h.chunk_id).alias("got")
     )
     gold = t.pairs.where(F.size("source_chunk_ids") > 0).select("query_id", F.col("source_chunk_ids").alias("gold"))

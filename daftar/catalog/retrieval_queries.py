@@ -131,7 +131,7 @@ def _(t):
 
 @query("lexical_search_idf", "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM lexidf", ("lexidf",))
 def _(t):
-    return L.lexical_search(t.index, t.queries, idf=True).select(*HITS)
+    return L.lexical_search(t.index, t.queries, idf=True, n_chunks=t.n_chunks).select(*HITS)
 
 
 @query(
@@ -194,7 +194,7 @@ _HYBRID = f"""
     ("lex", "lexidf"),
 )
 def _(t):
-    lists = X.stack(L.lexical_search(t.index, t.queries), L.lexical_search(t.index, t.queries, idf=True))
+    lists = X.stack(L.lexical_search(t.index, t.queries), L.lexical_search(t.index, t.queries, idf=True, n_chunks=t.n_chunks))
     return X.rrf_fuse(lists).select(*HITS)
 
 

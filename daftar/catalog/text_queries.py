@@ -219,7 +219,7 @@ def _(t):
 
 @query("chunk_documents", "SELECT id, doc_id, seq, text, text_normalized FROM chunks", ("chunks",))
 def _(t):
-    return t.chunks.select("id", "doc_id", "seq", "text", "text_normalized")
+    return C.chunk_documents(t.docs).select("id", "doc_id", "seq", "text", "text_normalized")
 
 
 _LATIN = r"([A-Z][a-z]{0,3})(?![a-z])"

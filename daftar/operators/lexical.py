@@ -46,8 +46,9 @@ def lexical_search(
 
     Terms are OR-ed. With an OR query every matching position is its own minimal cover, so the
     cover-density rank is the position weight times the number of matching positions; that
-    reduction lives here and nowhere else. ``idf`` weighs a term by ln(N / chunks containing it);
-    ``require_all`` keeps chunks that contain every term.
+    reduction lives here and nowhere else. ``idf`` weighs a term by ln(N / chunks containing it),
+    where ``n_chunks`` is the number of all chunks, also of those without a token; without it the
+    index is counted, which knows only chunks that have one. ``require_all`` keeps chunks that contain every term.
     """
     check_limit(limit)
     terms = query_terms(queries)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_tables: dict[tuple[str, str], str] = {}
+
+
+def _state(spark: SparkSession, path: str) -> str:
+    """When what a path holds was last changed: the newest of its files."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    return f"{len(files)}-{max((f.getModificationTime() for f in files), default=0)}"
+
+
+def stored(df: DataFrame, name: str, source: str) -> DataFrame:
+    """A table derived from the files at ``source``, written once per application and read from there on.
+
+    It lies in the shared checkpoint folder, so that plans over it start from a scan that prunes
+    columns and takes filters, and survive lost executors. Changed source files make a new table.
+    """
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, f"{name} {source} {_state(spark, source)}")
+    if key not in _tables:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _tables[key] = path
+    return spark.read.schema(df.schema).parquet(_tables[key])
+
+
 def within_rows(df: DataFrame, bound: int) -> bool:
     """True when the table has at most ``bound`` rows; reads no more than bound + 1 of them."""
     return df.limit(bound + 1).count() <= bound
