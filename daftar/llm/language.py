@@ -28,6 +28,7 @@ BUCKETS = 1 << _BITS
 SAMPLE = 4000
 UNKNOWN = "und"
 _RUN = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"\b[^\W\d_]+\b")
 
 #: First code points of blocks and their scripts; a block reaches up to the next. Fixed values.
 SCRIPTS = (
@@ -52,8 +53,12 @@ _NUMBERS = np.array([_NAMES.index(name) for _, name in SCRIPTS])
 
 
 def runs(text: str | None) -> list[str]:
-    """Words as lower-cased runs of letters."""
-    return _RUN.findall(text.lower()) if text else []
+    """Words as lower-cased runs of letters; runs that touch a digit only where there are no others.
+
+    Pieces of keys and hashes are no words of any language.
+    """
+    low = (text or "").lower()
+    return _WORD.findall(low) or _RUN.findall(low)
 
 
 def has_letter(text: str | None) -> bool:
@@ -169,8 +174,22 @@ class Model:
         path = self.paths(self.scores(list(number))[codes], sizes)
         return list(zip(lists, np.split(path, np.cumsum(sizes)[:-1]), strict=True))
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and the share of letters in its spans; ``und`` and 0 for a text without a letter."""
+    def predict(self, texts: list[str | None], most_chars: int = 1_500_000) -> list[tuple[str, float]]:
+        """Language and the share of letters in its spans; ``und`` and 0 for a text without a letter.
+
+        Texts are labelled together in groups of ``most_chars`` characters, which bounds the arrays;
+        a longer text is a group of its own.
+        """
+        out, group, size = [], [], 0
+        for text in texts:
+            if group and size + len(text or "") > most_chars:
+                out += self._predict(group)
+                group, size = [], 0
+            group.append(text)
+            size += len(text or "")
+        return out + self._predict(group)
+
+    def _predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out = []
         for words, path in self.label(texts):
             if not words:
@@ -263,7 +282,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return predict(rows, model, ("doc_id", "held_out"))
 
 
-def accept(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def accept(docs: DataFrame, least: float = 0.4, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` with a language, whose spans hold the share ``least`` of the letters; all columns kept."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held_out()), sample))
 
