@@ -329,6 +329,18 @@ def _(t):
     return A.grounding(t.pairs, t.chunks)
 
 
+@query(
+    "grounding_summary",
+    f"""SELECT count(*) AS n, round(min(g), 6) AS least, round(quantile_disc(g, 0.5), 6) AS median FROM (
+        SELECT len(list_intersect(mine, theirs)) / len(mine) AS g FROM (
+        SELECT list_distinct({sql_tokens('lower(' + sql_norm('answer') + ')')}) AS mine, {sql_tokens('lower(text_normalized)')} AS theirs
+        FROM pairs p JOIN qrels USING (query_id) JOIN chunks ON chunks.id = chunk_id) g) s""",
+    ("pairs", "qrels", "chunks"),
+)
+def _(t):
+    return A.grounding_summary(A.grounding(t.pairs, t.chunks))
+
+
 # --- refusal ----------------------------------------------------------------------------------------------
 
 _GRID = ", grid AS (SELECT round(i * 0.01, 6) AS threshold FROM range(0, 91) r(i))"

@@ -501,3 +501,40 @@ def _(t):
 def _(t):
     done = R.ask(t.queries, t.chunks, S.RetrievalConfig.named("lexical"), max_tokens=1500, dialect=LATIN)
     return done.select("query_id", "register", "status", F.length("prompt").alias("prompt_chars"))
+
+
+@query(
+    "citation_payload",
+    """SELECT query_id, '[' || string_agg('{"rank":' || rank || ',"chunk_id":"' || chunk_id || '"}', ',' ORDER BY rank) || ']' AS cited,
+        round(max(score), 6) AS top_score, '[{"stage":"retrieve","ms":1.23},{"stage":"total","ms":20.0}]' AS stages
+        FROM lex WHERE rank <= 3 GROUP BY query_id""",
+    ("lex",),
+)
+def _(t):
+    hits = L.lexical_search(t.index, t.queries).where("rank <= 3")
+    times = F.array(*(F.struct(F.lit(n).alias("stage"), F.lit(ms).alias("ms")) for n, ms in (("total", 19.999), ("retrieve", 1.2345))))
+    stages = t.queries.select("query_id", F.explode(times).alias("s")).select("query_id", "s.*")
+    told = Z.payload(hits, stages)
+    cited = F.to_json(F.transform("citations", lambda c: F.struct(c["rank"].alias("rank"), c.chunk_id.alias("chunk_id"))))
+    return told.select(
+        "query_id", cited.alias("cited"), F.array_max(F.col("citations.score")).alias("top_score"), F.to_json("stages").alias("stages")
+    )
+
+
+@query(
+    "cache_roundtrip",
+    """SELECT CAST(vec_id AS VARCHAR) AS query_id, 1.0::DOUBLE AS similarity, event_type AS answer, 60.0::DOUBLE AS age_seconds
+        FROM embeddings JOIN events ON event_id = vec_id WHERE event_type <> 'error'""",
+)
+def _(t):
+    # store answers, then look each question up again: what was storable is found under its own key
+    asked = t.read("embeddings").join(t.events.withColumnRenamed("event_id", "vec_id"), "vec_id").where("event_type <> 'error'")
+    answers = asked.select(
+        F.col("vec_id").cast("string").alias("query_id"), F.concat_ws(" ", "props", F.col("vec_id").cast("string")).alias("question"),
+        "embedding", F.lit("bge").alias("model_key"), F.lit("p1").alias("pipeline_key"), F.col("event_type").alias("answer"),
+        F.lit("[]").alias("citations"),
+    )
+    cache = K.new_rows(answers, "2024-02-01 00:00:00 UTC")
+    lookups = answers.select("query_id", "question", F.transform("embedding", lambda x: x.cast("double")).alias("vector"), "model_key", "pipeline_key")
+    found = K.lookup(lookups, cache, 0.9, now="2024-02-01 00:01:00 UTC", dim=64)
+    return found.select("query_id", "similarity", "answer", "age_seconds")

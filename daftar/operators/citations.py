@@ -49,3 +49,18 @@ def source_urls(cited: DataFrame, manifest: DataFrame, sections: DataFrame, key:
     return joined.withColumn("source_url", F.coalesce(anchored, F.col("_url"))).drop(
         "_number", "_url", "_anchor"
     )
+
+
+def payload(hits: DataFrame, stages: DataFrame | None = None) -> DataFrame:
+    """What an answer reports: scores at six decimals and, joined by query, stage times at two.
+
+    The edge of the library: nothing is computed from rounded values. ``hits`` has query_id, rank,
+    chunk_id and score, ``stages`` query_id, stage and ms.
+    """
+    cited = F.struct("rank", "chunk_id", F.round("score", 6).alias("score"))
+    answers = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(cited)).alias("citations"))
+    if stages is None:
+        return answers
+    spent = F.struct("stage", F.round("ms", 2).alias("ms"))
+    times = stages.groupBy("query_id").agg(F.array_sort(F.collect_list(spent)).alias("stages"))
+    return answers.join(times, "query_id", "left")
