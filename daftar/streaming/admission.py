@@ -11,23 +11,41 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from daftar import settings as S
 
+_DAY_US = 24 * 3600 * 1_000_000
+
 
 def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """The rows one key received in this micro-batch."""
     return pd.concat(list(frames)).sort_values(["us", "event_id"], kind="stable")
 
 
-def rate_limited(requests: DataFrame, limit: int, window_s: int = S.RATE_WINDOW_S, key: str = "user_id") -> DataFrame:
+def _over(state: GroupState, newest_us: int, span_us: int) -> bool:
+    """Whether the stream's own clock has passed what the state is kept for.
+
+    The timer runs in processing time, but only wakes the state up. While the source stalls, the
+    watermark stands still and the state is kept. Rows behind the watermark still get a verdict,
+    which an event-time timer would deny them.
+    """
+    return newest_us + span_us <= state.getCurrentWatermarkMs() * 1000
+
+
+def rate_limited(
+    requests: DataFrame, limit: int, window_s: int = S.RATE_WINDOW_S, key: str = "user_id", lateness: str = "1 minute"
+) -> DataFrame:
     """(key, event_id, accepted) for a stream of (key, event_id, ts).
 
     The state of a key is its accepted times inside the window, at most ``limit`` of them. A key
-    idle for a window is forgotten, which is what keeps the state from growing with the keys seen.
+    is forgotten when the watermark, ``lateness`` behind the newest event, has passed its last
+    window; that is what keeps the state from growing with the keys seen.
     """
     span = window_s * 1_000_000
 
     def admit(group, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            state.remove()
+            if _over(state, max(state.get[0], default=0), span):
+                state.remove()
+            else:
+                state.setTimeoutDuration(window_s * 1000)
             return
         kept = list(state.get[0]) if state.exists else []
         rows = []
@@ -41,7 +59,7 @@ def rate_limited(requests: DataFrame, limit: int, window_s: int = S.RATE_WINDOW_
         state.setTimeoutDuration(window_s * 1000)
         yield pd.DataFrame(rows, columns=["key", "event_id", "accepted"])
 
-    keyed = requests.select(
+    keyed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).select(
         F.col(key).cast("string").alias("key"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
     )
     return keyed.groupBy("key").applyInPandasWithState(
@@ -49,16 +67,19 @@ def rate_limited(requests: DataFrame, limit: int, window_s: int = S.RATE_WINDOW_
     )
 
 
-def spend_capped(events: DataFrame, cap_usd: float) -> DataFrame:
+def spend_capped(events: DataFrame, cap_usd: float, lateness: str = "1 minute") -> DataFrame:
     """(date, event_id, accepted, usd, calls) for a stream of reserves and settles.
 
     State per UTC day: the running total, the settled calls and the open holds. A day's state is
-    dropped a day after its last event.
+    dropped when the watermark is a day past its end.
     """
 
     def admit(group, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            state.remove()
+            if _over(state, int(pd.Timestamp(group[0]).value // 1000), 2 * _DAY_US):
+                state.remove()
+            else:
+                state.setTimeoutDuration(24 * 3600 * 1000)
             return
         usd, calls, ids, amounts = state.get if state.exists else (0.0, 0, [], [])
         held = dict(zip(ids, amounts))
@@ -78,7 +99,7 @@ def spend_capped(events: DataFrame, cap_usd: float) -> DataFrame:
         state.setTimeoutDuration(24 * 3600 * 1000)
         yield pd.DataFrame(rows, columns=["date", "event_id", "accepted", "usd", "calls"])
 
-    keyed = events.select(
+    keyed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).select(
         F.to_date("ts").cast("string").alias("date"), "event_id", "request_id", "kind", F.col("usd").cast("double").alias("usd"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
     )

@@ -108,3 +108,28 @@ def test_windowed_metrics_stream(spark, tmp_path):
     batch = metrics.windowed(events, ["event_type"], "value", "1 hour", watermark=None)
     assert live.select("window", "event_type", "n").exceptAll(batch.select("window", "event_type", "n")).count() == 0
     assert live.count() == batch.count()
+
+
+class _State:
+    """What a timer sees: the stored times and how far the stream's own clock has come."""
+
+    hasTimedOut, exists = True, True
+
+    def __init__(self, times, watermark_ms):
+        self.get, self.watermark_ms, self.removed, self.timer = (times,), watermark_ms, False, None
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark_ms
+
+    def remove(self):
+        self.removed = True
+
+    def setTimeoutDuration(self, ms):
+        self.timer = ms
+
+
+def test_a_stalled_source_forgets_nothing():
+    hour = 3600 * 1_000_000
+    stalled = _State([5 * hour], 5 * 3600 * 1000)
+    assert not admission._over(stalled, 5 * hour, 6 * hour)
+    assert admission._over(_State([5 * hour], 11 * 3600 * 1000), 5 * hour, 6 * hour)
