@@ -19,12 +19,6 @@ def norm(vector) -> Column:
     return F.sqrt(dot(vector, vector))
 
 
-def cosine_distance(left, right) -> Column:
-    """One minus the cosine; NULL when either side is the zero vector."""
-    scale = F.nullif(norm(left) * norm(right), F.lit(0.0))
-    return 1 - dot(left, right) / scale
-
-
 def l2_normalize(vector) -> Column:
     """Unit vector; the zero vector stays as it is."""
     vector = _col(vector)

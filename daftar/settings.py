@@ -60,7 +60,6 @@ MAX_TITLE_CHARS = 300
 MAX_URL_CHARS = 2048
 MAX_TEXT_CHARS = 200_000
 MAX_PUSH_BYTES = 10 * 1024 * 1024
-POSTED_LICENSE = "unspecified"
 
 # --- fixed values: prices, USD per million tokens (input, output) ------------------
 TOKENS_PER_MILLION = 1_000_000
