@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from daftar.catalog.base import WS, query, sql_norm, sql_tokens
+from daftar.catalog.base import WS, query, sql_norm, sql_strip, sql_tokens
 from daftar.operators import audits as A
 from daftar.operators import evaluation as M
 from daftar.operators import lexical as L
@@ -313,7 +313,24 @@ def _(t):
     return A.near_duplicates(t.docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("question")), 0.8)
 
 
-@query("leakage")
+_SETS = "SELECT min(id) AS id, count(*) AS members, toks FROM ({rows}) r WHERE len(toks) > 0 GROUP BY toks"
+_SET = "list_sort(list_distinct({})) AS toks"
+_ASKED = "SELECT query_id AS id, " + _SET.format(sql_tokens(f"lower({sql_norm('question')})")) + " FROM q"
+_SAID = (
+    "SELECT id || '#' || (n - 1) AS id, " + _SET.format(sql_tokens(f"lower({sql_norm('part')})"))
+    + " FROM (SELECT id, unnest(parts) AS part, generate_subscripts(parts, 1) AS n FROM (SELECT id, list_filter("
+    + f"regexp_split_to_array(text, '[.!?؟؛\\n]+'), lambda s: {sql_strip('s')} <> '') AS parts FROM chunks) c) s"
+)
+
+
+@query(
+    "leakage",
+    f"""SELECT id, sentence_id, round(common / (n + m - common), 6) AS jaccard, pairs FROM (
+        SELECT l.id, r.id AS sentence_id, len(list_intersect(l.toks, r.toks)) AS common, len(l.toks) AS n, len(r.toks) AS m, l.members * r.members AS pairs
+        FROM ({_SETS.format(rows=_ASKED)}) l CROSS JOIN ({_SETS.format(rows=_SAID)}) r) p
+        WHERE common / (n + m - common) >= 0.6""",
+    ("q", "chunks"),
+)
 def _(t):
     return A.leakage(t.queries, t.chunks, 0.6)
 

@@ -68,6 +68,25 @@ def _(t):
     return lexicon.groupBy("category").agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("n"), F.lit(0)).alias("used"))
 
 
+_LEXICON = """SELECT CASE WHEN user_id % 5 = 0 THEN '  ' ELSE '' END || 'k' || (user_id % 50) AS key,
+    CASE WHEN user_id % 3 = 0 THEN 'k' || (user_id % 7) ELSE 'v' || (event_id % 2) END AS value FROM events"""
+
+
+@query(
+    "lexicon_problems",
+    f"""WITH x AS ({_LEXICON})
+        SELECT key, 'conflicting values' AS problem FROM x GROUP BY key HAVING count(DISTINCT value) > 1
+        UNION ALL SELECT DISTINCT key, 'key not normalized' FROM x WHERE key <> trim(key)
+        UNION ALL SELECT DISTINCT key, 'value is a key' FROM x WHERE value IN (SELECT key FROM x)""",
+)
+def _(t):
+    # a lexicon made from the event table that breaks each rule
+    number = F.col("user_id")
+    key = F.concat(F.when(number % 5 == 0, F.lit("  ")).otherwise(""), F.lit("k"), (number % 50).cast("string"))
+    value = F.when(number % 3 == 0, F.concat(F.lit("k"), (number % 7).cast("string"))).otherwise(F.concat(F.lit("v"), (F.col("event_id") % 2).cast("string")))
+    return P.lexicon_problems(t.events.select(key.alias("key"), value.alias("value"), F.lit("made").alias("category")))
+
+
 CLAUSES = P.Clauses(
     conjunction="th", stems=("the", "at"), asking=("the", "is", "que", "de"), proclitics=("t",), comma=",",
     sentence_end=".", trim=" \t\n,;.",
