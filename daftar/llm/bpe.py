@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from daftar.llm.common import slices
 
 _LONG = 192
-_BLOCK = 40_000_000  # sum of squared word lengths in one recursive query: bounds what it keeps
-_MOST_WORDS = 400_000  # encoded words a task remembers
+_BLOCK = 4_000_000  # sum of squared word lengths in one recursive query: bounds what it keeps
+_MOST_WORDS = 200_000  # encoded words a task remembers
 #: White space of Unicode, as the pattern's \s has it. Fixed values.
 _SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -122,7 +122,7 @@ class Codec:
     """One task's DuckDB with the merge table and the vocabulary, and the words met so far."""
 
     def __init__(self, ranks: dict[bytes, int], pairs: np.ndarray, merged: np.ndarray) -> None:
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB"})
         self.db.register("given", pa.table({"pair": pairs, "rank": merged}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         tokens = pa.table({"token": list(ranks.values()), "hexes": [t.hex() for t in ranks]})
@@ -131,6 +131,11 @@ class Codec:
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.words: dict[str, tuple[int, str, bytes]] = {}  # word -> number of tokens, ids as text, decoded bytes
 
+    def close(self) -> None:
+        """A worker that goes on to other tasks keeps neither the database nor the words."""
+        self.db.close()
+        self.words.clear()
+
     def _positions(self, lists: list) -> pa.Table:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if lists else np.empty(0, np.int64)
@@ -193,8 +198,8 @@ class Codec:
     def learn(self, words: Iterable[str]) -> None:
         """Encode the words not met before, and decode what came out."""
         fresh = [w for w in dict.fromkeys(words) if w not in self.words]
-        for at in range(0, len(fresh), 50_000):
-            some = fresh[at : at + 50_000]
+        for at in range(0, len(fresh), 12_000):
+            some = fresh[at : at + 12_000]
             ids = self.encode(some)
             for word, row, raw in zip(some, ids, self.decode(ids), strict=True):
                 self.words[word] = (len(row), " ".join(map(str, row)), raw)
@@ -216,7 +221,7 @@ def encode_texts(
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, split = None, splitter(pattern, quick)
         for part in parts:
-            for piece in slices(part, 8 << 20):
+            for piece in slices(part, 2 << 20):
                 codec = codec or Codec(*given.value)
                 lists = [split(t) if t else [] for t in piece.column(1).to_pylist()]
                 if len(codec.words) > _MOST_WORDS:
@@ -235,6 +240,8 @@ def encode_texts(
                 arrays = [piece.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
                 arrays += [pa.array(ids, pa.list_(pa.int32()))] * with_ids
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        if codec is not None:
+            codec.close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
@@ -249,10 +256,12 @@ def decode_ids(rows: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", id
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for part in parts:
-            for piece in slices(part, 8 << 20):
+            for piece in slices(part, 2 << 20):
                 codec = codec or Codec(*given.value)
                 found = codec.decode([x or [] for x in piece.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(found, pa.binary())], [key, "raw"])
+        if codec is not None:
+            codec.close()
 
     kind = dict(rows.dtypes)[key]
     return rows.select(key, F.col(ids).cast("array<int>").alias(ids)).mapInArrow(run, f"`{key}` {kind}, raw binary")
