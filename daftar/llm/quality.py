@@ -15,7 +15,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,18 +142,27 @@ def chi2_quantile(p: float, d: int) -> float:
     return low
 
 
-def solve(moments: pd.DataFrame, factor: float) -> pd.DataFrame:
-    """Centre and inverse spread from each part's row count, sums and sums of products."""
+def solve(factor: float):
+    """Centre and inverse spread from each part's row count, sums and sums of products, batch by batch."""
     d = len(FLOORS)
     upper = np.triu_indices(d)
-    out = []
-    for name, n, *sums in moments.itertuples(index=False):
-        centre = np.array(sums[:d]) / n
-        spread = np.zeros((d, d))
-        spread[upper] = np.array(sums[d:]) / n
-        spread = factor * (spread + np.triu(spread, 1).T - np.outer(centre, centre)) + np.diag(np.square(FLOORS))
-        out.append((name, centre, np.linalg.inv(spread).ravel()))
-    return pd.DataFrame(out, columns=["part", "centre", "inverse"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            centres, inverses = [], []
+            sums = np.column_stack([batch.column(s).to_numpy(zero_copy_only=False) for s in _SUMS])
+            for n, row in zip(batch.column("n").to_pylist(), sums, strict=True):
+                centre = row[:d] / n
+                spread = np.zeros((d, d))
+                spread[upper] = row[d:] / n
+                spread = factor * (spread + np.triu(spread, 1).T - np.outer(centre, centre)) + np.diag(np.square(FLOORS))
+                centres.append(centre)
+                inverses.append(np.linalg.inv(spread).ravel())
+            doubles = pa.list_(pa.float64())
+            arrays = [batch.column("part"), pa.array(centres, doubles), pa.array(inverses, doubles)]
+            yield pa.RecordBatch.from_arrays(arrays, ["part", "centre", "inverse"])
+
+    return run
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -180,11 +188,12 @@ def _binned(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not part.num_rows:
             continue
         x, distance = _measured(part)
-        frame = pd.DataFrame(np.column_stack([x, x[:, i] * x[:, j]]), columns=_SUMS)
-        frame.insert(0, "n", 1)
-        frame.insert(0, "bin", np.floor(np.log2(distance + 1e-6) * _BINS_PER_OCTAVE).astype(np.int32))
-        frame.insert(0, "part", part.column("part").to_pandas())
-        yield pa.RecordBatch.from_pandas(frame.groupby(["part", "bin"], as_index=False).sum(), preserve_index=False)
+        bins = np.floor(np.log2(distance + 1e-6) * _BINS_PER_OCTAVE).astype(np.int32)
+        columns = [part.column("part"), pa.array(bins), pa.array(np.ones(len(bins), np.int64))]
+        columns += [pa.array(c) for c in np.column_stack([x, x[:, i] * x[:, j]]).T]
+        table = pa.Table.from_arrays(columns, ["part", "bin", "n", *_SUMS])
+        summed = table.group_by(["part", "bin"]).aggregate([(s, "sum") for s in ("n", *_SUMS)])
+        yield from summed.rename_columns(["part", "bin", "n", *_SUMS]).combine_chunks().to_batches()
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -226,10 +235,8 @@ def estimates(rows: DataFrame, scratch: Scratch, share: float = 0.75, steps: int
         bins = rows.join(current, "part").mapInArrow(_binned, schema).groupBy("part", "bin").agg(*total)
         running = bins.withColumn("upto", F.sum("n").over(whole.orderBy("bin"))).withColumn("all", F.sum("n").over(whole))
         inside = running.where(F.col("upto") - F.col("n") < share * F.col("all"))
-        solved = inside.groupBy("part").agg(*total).mapInPandas(
-            lambda parts: (solve(p, factor) for p in parts if len(p)),
-            "part string, centre array<double>, inverse array<double>",
-        )
+        moments = inside.groupBy("part").agg(*total).select("part", "n", *_SUMS)
+        solved = moments.mapInArrow(solve(factor), "part string, centre array<double>, inverse array<double>")
         current = scratch.put(solved, f"step-{k + 1}")
         scratch.drop(f"step-{k}")
     return current
