@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from daftar.llm.common import Scratch
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-STRETCH = 16 << 20  # bytes of a file that one group of reads covers
-MOST_READ = 8 << 20  # bytes of one read, if no record is longer
+TASK_READ = 64 << 20  # bytes one task reads, about
+STRETCH = 4 << 20  # bytes of a file that one group of reads covers
+MOST_READ = 4 << 20  # bytes of one read, if no record is longer
 GAP = 64 << 10  # bytes that a read may cover and not use
 _END = b"\r\n\r\n"
 
@@ -144,7 +145,10 @@ def read(selected: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     Without ``payloads`` they are read and checked, but not returned.
     """
     placed = selected.select("page_id", "file", "offset", "length", F.floor(F.col("offset") / STRETCH).alias("stretch"))
-    dealt = placed.repartition(F.col("file"), F.col("stretch")).sortWithinPartitions("file", "offset")
+    # Index rows are small and what they stand for is not: the number of tasks follows the bytes to read.
+    total = placed.agg(F.sum("length")).first()[0] or 0
+    tasks = max(selected.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_READ))
+    dealt = placed.repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _filesystem(folder)
