@@ -86,22 +86,28 @@ def parse(messages: DataFrame) -> DataFrame:
 def _threads(replies: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv_id, turn, thread, depth) from distinct (conv_id, turn, parent): the first turn of its chain, and steps to it.
 
-    Parents are earlier turns, so chains end. Each round doubles how far every turn sees.
+    Parents are earlier turns, so chains end. Each round doubles how far every turn sees; turns that
+    see the first of their chain take no part in later rounds, so one long conversation costs the
+    others nothing.
     """
-    current = replies.select("conv_id", "turn", F.coalesce("parent", "turn").alias("thread"), F.col("parent").isNotNull().cast("long").alias("depth"))
+    current = replies.select(
+        "conv_id", "turn", F.coalesce("parent", "turn").alias("thread"),
+        F.col("parent").isNotNull().cast("long").alias("depth"), F.col("parent").isNull().alias("done"),
+    )
     current = scratch.put(current, "thread-0")
     step = 0
-    while True:
-        ahead = current.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("_thread"), F.col("depth").alias("_depth"))
-        step += 1
-        after = current.join(ahead, ["conv_id", "thread"]).select(
-            "conv_id", "turn", F.col("_thread").alias("thread"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("_depth") > 0).alias("moved")
+    while not current.where(~F.col("done")).isEmpty():
+        ahead = current.select(
+            "conv_id", F.col("turn").alias("thread"), F.col("thread").alias("_thread"), F.col("depth").alias("_depth"), F.col("done").alias("_done")
         )
-        after = scratch.put(after, f"thread-{step}")
+        moved = current.where(~F.col("done")).join(ahead, ["conv_id", "thread"]).select(
+            "conv_id", "turn", F.col("_thread").alias("thread"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done")
+        )
+        step += 1
+        after = scratch.put(current.where("done").unionByName(moved), f"thread-{step}")
         scratch.drop(f"thread-{step - 1}")
-        current = after.drop("moved")
-        if after.where("moved").isEmpty():
-            return current
+        current = after
+    return current.drop("done")
 
 
 def link(messages: DataFrame) -> DataFrame:
