@@ -1,8 +1,10 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed hashes eight of the words in a window and ignores the others, at places a fixed mask names;
+A seed hashes six of the words in a window and ignores the others, at places a fixed mask names;
 so a passage is still found when words in it were substituted. Seeds of the benchmark and of the
 documents are joined, and around each hit the words of both are compared along the hit's diagonal.
+The masks lose nothing: wherever the substitutions stand, an overlap that counts has a window of one
+of the masks without any (tested for all places).
 
 Documents send nothing into the join but seeds that pass a Bloom filter of the benchmark's seeds,
 with the words around them. The filter has a fixed number of bits, is built by an aggregation and
@@ -22,10 +24,11 @@ from pyspark.sql import functions as F
 from daftar.llm.common import Scratch, over_rows, slices
 
 #: Fixed masks: 1 takes a word into the seed, 0 ignores it.
-MASKS = ("11011010111", "111001011011", "11010001100111")
+MASKS = ("1111011", "110010111", "1101000111", "111100011")
 _PLACES = [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == ord("1")) for m in MASKS]
 _SPANS = [len(m) for m in MASKS]
-_SHORTEST = min(_SPANS)
+#: Items of fewer words must stand whole.
+_SHORTEST = 11
 _FACTORS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(32)], np.uint64)
 FILTER_BITS = 26
 
@@ -48,15 +51,19 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def seeds(tokens: np.ndarray, short: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """All seeds of a word sequence and the places where their windows start.
 
-    ``short`` names window lengths that are hashed whole, for items shorter than every mask.
+    ``short`` names window lengths that are hashed whole, for items that must stand whole.
     """
-    masks = list(zip(_PLACES, _SPANS, strict=True)) + [(np.arange(n), n) for n in short]
+    masks = list(zip(range(len(MASKS)), _PLACES, _SPANS, strict=True)) + [(100 + n, np.arange(n), n) for n in short]
+    return _hashed(tokens, masks)
+
+
+def _hashed(tokens: np.ndarray, masks: list[tuple[int, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds of each (tag, places, span) of ``masks`` and where their windows start."""
     found, starts = [], []
-    for number, (places, span) in enumerate(masks):
+    for tag, places, span in masks:
         count = len(tokens) - span + 1
         if count < 1:
             continue
-        tag = number if number < len(MASKS) else 100 + span
         total = np.full(count, tag, np.uint64)
         for k, place in enumerate(places):
             total += tokens[place : place + count] * _FACTORS[k]
@@ -95,13 +102,20 @@ class Filter:
         (self.places, self.bits), self.table = state, None
 
 
-def segment(score: np.ndarray) -> tuple[int, int]:
-    """Start and end of the first best-scoring run: +1 for equal words, -4 for a substitution."""
-    total = np.concatenate([[0], np.cumsum(score)])
-    gain = total[1:] - np.minimum.accumulate(total)[:-1]
-    end = int(np.argmax(gain)) + 1
-    start = int(np.argmin(total[:end]))
-    return start, end
+def segment(equal: np.ndarray) -> tuple[int, int]:
+    """Start and end of the run with most equal words of those with four of five equal; then the shortest, then the first.
+
+    With +1 for equal words and -4 for others, such a run is two prefix sums that do not fall; of
+    each start the last such end has most equal words.
+    """
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -4))])
+    count = np.concatenate([[0], np.cumsum(equal)])
+    highest = np.maximum.accumulate(total[::-1])[::-1]
+    places = np.flatnonzero(equal)
+    last = count[np.searchsorted(-highest, -total[places], side="right") - 1]
+    same, ends = last - count[places], places[last - 1] + 1
+    best = np.lexsort((places, ends - places, -same))[0]
+    return int(places[best]), int(ends[best])
 
 
 def aligned(document: np.ndarray, item: np.ndarray, diagonal: int, least: int) -> tuple[int, int, int] | None:
@@ -115,7 +129,7 @@ def aligned(document: np.ndarray, item: np.ndarray, diagonal: int, least: int) -
     equal = item[low:high] == document[low + diagonal : high + diagonal]
     if not equal.any():
         return None
-    start, end = segment(np.where(equal, 1, -4))
+    start, end = segment(equal)
     same = int(equal[start:end].sum())
     if same < min(least, -(-4 * len(item) // 5)):
         return None
@@ -142,7 +156,7 @@ def overlaps(
 
     One row for each document and item that overlap, with the best overlap. Items whose words are
     the same are one item, that of the smallest id; items of fewer than ``least_words`` words are
-    not tested. Items shorter than the shortest mask must stand whole; longer ones must share
+    not tested. Items of fewer than 11 words must stand whole; longer ones must share
     ``least`` words, or four fifths of theirs, with at most one word in five substituted.
     ``first_word`` counts the document's words from 0; ``coverage`` is the share of the item's words
     that are equal.
@@ -164,7 +178,8 @@ def overlaps(
         for part in parts:
             for number, tokens in zip(part.column("item_id").to_pylist(), part.column("words"), strict=True):
                 row = np.asarray(tokens.values).view(np.uint64)
-                found, places = seeds(row, (len(row),) if len(row) < _SHORTEST else ())
+                whole = [(100 + len(row), np.arange(len(row)), len(row))]
+                found, places = _hashed(row, whole) if len(row) < _SHORTEST else seeds(row)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found.view(np.int64)), pa.array(places), pa.array(np.full(len(found), number))],
                     ["seed", "at", "item_id"],

@@ -441,3 +441,49 @@ def test_substituted_passages_are_found(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
     assert decontaminate.overlaps(docs.limit(0), benchmark).count() == 0
     assert decontaminate.overlaps(docs, benchmark.limit(0)).count() == 0 and decontaminate.clean(docs, benchmark.limit(0)).count() == len(texts) + 1
+
+
+def shared(document, item, least=13):
+    """Most equal words of any run on any diagonal with at most one word in five substituted, if enough; else 0."""
+    best, enough = 0, min(least, -(-4 * len(item) // 5))
+    for diagonal in range(-len(item), len(document)):
+        same = [item[i] == document[i + diagonal] if 0 <= i + diagonal < len(document) else None for i in range(len(item))]
+        for i in range(len(same)):
+            equal = 0
+            for j in range(i, len(same)):
+                if same[j] is None:
+                    break
+                equal += same[j]
+                if 5 * equal >= 4 * (j - i + 1) and equal >= enough:
+                    best = max(best, equal)
+    return best
+
+
+def test_one_word_in_five_may_change_anywhere(spark):
+    # The finding's own cases, counted from 0: (words of the item, places that change).
+    cases = [(15, (3,)), (15, (4,)), (15, (10,)), (15, (5, 10)), (20, (8, 9, 10)), (25, (10, 11, 12, 13)), (11, (3, 7)), (15, (3, 7, 11))]
+    rng = random.Random(13)
+    for n in (11, 12, 14, 15, 16, 20, 23, 33):
+        for _ in range(6):
+            at = rng.randrange(n)
+            cases.append((n, tuple(rng.sample(range(n), n // 5))))
+            cases.append((n, tuple(i for i in range(at, at + n // 5 + rng.randint(0, 1)) if i < n)))
+    items = [[f"w{k}x{i}" for i in range(n)] for k, (n, _) in enumerate(cases)]
+    texts = [["a", "b"] + ["zzz" if i in at else w for i, w in enumerate(own)] + ["c"] for own, (_, at) in zip(items, cases)]
+    want = {(k, k): shared(text, own) for k, (text, own) in enumerate(zip(texts, items))}
+    assert all(want[k, k] for k in range(8)) and 0 in want.values()
+    benchmark = spark.createDataFrame([(k, " ".join(own)) for k, own in enumerate(items)], "item_id long, text string")
+    found = decontaminate.overlaps(documents(spark, [" ".join(t) for t in texts]), benchmark).collect()
+    assert {(r.doc_id, r.item_id): r.n_equal for r in found} == {k: v for k, v in want.items() if v}
+    assert all(5 * r.n_equal >= 4 * r.n_words for r in found)
+
+
+def test_masks_lose_no_overlap():
+    # A run that counts holds one of these; two halves of one of more than 33 words hold one too.
+    masks = [int(m, 2) for m in decontaminate.MASKS]
+    for length, changes in ((11, 2), (12, 2), (13, 2), (14, 2), (15, 3), (16, 3), (20, 4), (25, 5), (30, 6)):
+        left = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(length), changes)])
+        for mask in masks:
+            for shift in range(length - mask.bit_length() + 1):
+                left = left[left & (mask << shift) != 0]
+        assert not len(left)
