@@ -183,8 +183,11 @@ def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
 
     Rows equal in every column count once. Rows without an id stay: nothing tells which of them to keep.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    found = near_duplicates(docs, shingle, bits)
+    return leaders(docs, near_duplicates(docs, shingle, bits), Scratch(docs.sparkSession, "simhash"))
+
+
+def leaders(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``docs`` that ``keep_one`` keeps, by the (doc_id, component_id) of ``found``."""
     # An id that stands in several rows goes only if none of them leads its component.
     kinds = scratch.put(
         found.groupBy("doc_id").agg(

@@ -350,6 +350,46 @@ def test_near_duplicates_agree_with_plain_version(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0 and simhash.keep_one(documents(spark, [])).count() == 0
 
 
+def test_near_dedup_keeps_no_near_copy(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    made = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [made(120) for _ in range(20)]
+    for base in texts[:20]:
+        for changes in (1, 2, 3):
+            texts.append([f"new{i}" if i in places else w for places in [rng.sample(range(120), changes)] for i, w in enumerate(base)])
+    hub = made(120)  # a chain, each link near only to the next
+    for k in range(8):
+        hub = hub[2:] + made(2) if k % 2 else [*hub[:-2], *made(2)]
+        texts.append(hub)
+    texts = [" ".join(t) for t in texts] + ["", None, "one two", "One  two", "three"]
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]):
+            links += 1
+            x, y = sorted((find(ids[a]), find(ids[b])))
+            root[y] = x
+    assert links > 60
+    docs = documents(spark, texts, ids)
+    kept = corpus_pipeline.near_dedup(spark, docs.unionByName(docs.limit(5)), "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in ids})
+    blank = documents(spark, ["x", "x"]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert corpus_pipeline.near_dedup(spark, blank, "").count() == 2
+    assert corpus_pipeline.near_dedup(spark, documents(spark, []), "").count() == 0
+
+
 # --- op8 -------------------------------------------------------------------------------------------
 
 
