@@ -141,6 +141,21 @@ def test_secrets_edges(spark):
             assert r.text == texts[r.doc_id]
 
 
+def test_the_sample_is_drawn_in_all_tasks(spark):
+    plans = {}
+
+    class Watched(secrets.Scratch):
+        def put(self, df, name):
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            return super().put(df, name)
+
+    columns = ", ".join(f"{f} double" for f in secrets.FEATURES)
+    rows = [(f"v{i}", float(i % 2), *[float(i % 2 + i % 3)] * len(secrets.FEATURES)) for i in range(40)]
+    labelled = spark.createDataFrame(rows, f"value string, label double, {columns}")
+    assert secrets.fit(labelled, Watched(spark, "t")) is not None
+    assert "Exchange SinglePartition" in plans["sample"] and "Coalesce" not in plans["sample"]
+
+
 # --- op3 -------------------------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string, host string, verdict int"
