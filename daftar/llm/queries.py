@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import bpe, decontaminate, language, licences, linkgraph, quality, quotes, secrets, simhash, warc
+from daftar.llm import (
+    balltree, bpe, decontaminate, divergence, language, licences, linkgraph, minhash, quality, quotes, secrets, simhash, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +99,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_secret_scan")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op11_minhash_near_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_source_divergence", divergence.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_ranked_lexical_search", balltree.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
