@@ -11,7 +11,7 @@ from pyspark.sql import types as t
 
 from daftar.functions import text as T
 from daftar.operators.chunking import chunk_documents
-from daftar.session import spread, stored
+from daftar.session import spread, stored, stored_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,9 +102,18 @@ class Tables:
 
     @cached_property
     def index(self) -> DataFrame:
-        from daftar.operators.lexical import postings
+        from daftar.operators.lexical import block_index
 
-        return self.stored(postings(self.chunks), "postings")
+        return self.stored(block_index(self.chunks, self.n_chunks), "blocks")
+
+    @cached_property
+    def vector_index(self):
+        """The index over the given vectors, written once per application."""
+        from daftar.operators.vector_index import read_index, write_index
+
+        source = f"{self.sf_dir}/embeddings.parquet"
+        path = stored_path(self.spark, "vectors", source, lambda path: write_index(self.vectors, path))
+        return read_index(self.spark, path)
 
     @cached_property
     def qrels(self) -> DataFrame:

@@ -14,6 +14,7 @@ from daftar.operators import embedding as E
 from daftar.operators import fusion as X
 from daftar.operators import lexical as L
 from daftar.operators import planning as P
+from daftar.operators import vector_index as V
 from daftar.plans import retrieval as R
 
 HITS = ("query_id", "chunk_id", "score", "rank")
@@ -176,9 +177,40 @@ def _(t):
     return D.dense_search(t.vectors, t.vector_queries, broadcast_values=0, block_rows=300).select(*HITS)
 
 
+@query("dense_search_index", "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM dense", ("dense",))
+def _(t):
+    return V.exact_search(t.vector_index, t.vector_queries).select(*HITS)
+
+
+def _approximate(t):
+    probes = V.calibrate(t.vector_index, t.vectors)
+    return V.approximate_search(t.vector_index, t.vector_queries, probes=probes)
+
+
 @query("ann_search")
 def _(t):
-    return D.ann_search(t.vectors, t.vector_queries).select(*HITS)
+    return _approximate(t).select(*HITS)
+
+
+@query(
+    "ann_recall",
+    "SELECT count(*) AS queries, true AS recall_reached, true AS few_candidates FROM vq",
+    ("vq",),
+)
+def _(t):
+    measured = V.recall(_approximate(t), V.exact_search(t.vector_index, t.vector_queries))
+    return measured.select("queries", (F.col("recall") >= 0.95).alias("recall_reached"), (F.col("candidates") <= 100).alias("few_candidates"))
+
+
+@query(
+    "ann_scores",
+    """SELECT query_id, chunk_id, round(score, 6) AS score FROM (
+       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sims) r WHERE rank <= 2""",
+    ("sims",),
+)
+def _(t):
+    """The two vectors a query is the sum of are found, with their exact scores."""
+    return _approximate(t).where("rank <= 2").select("query_id", "chunk_id", "score")
 
 
 # Dense and lexical lists of one query table: the vector of an item is the vector with its number.

@@ -1,14 +1,17 @@
-"""Nearest neighbours by cosine.
+"""Nearest neighbours by cosine, exactly.
 
 One kernel multiplies a block of corpus vectors with a block of query vectors and keeps the best
-``k`` per query, so pairs are never materialised as rows. Where the query side is proven small it
-is broadcast and the corpus streams past it once. Otherwise both sides are cut into blocks, each
-pair of blocks is one bounded group, and the partial lists are merged the same way.
+``k`` per query, so pairs are never materialised as rows and the corpus is never shuffled: query
+blocks of a bounded size go round as broadcasts, and only the best of each task travel. A block of
+corpus vectors lies in a cone around its mean; queries whose cosine with the cone cannot reach
+their running ``k``-th score skip the block. That pays where the table is laid out by similarity
+(:mod:`daftar.operators.vector_index`) and costs one product with the mean where it is not.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,15 +21,32 @@ from pyspark.sql import functions as F
 
 from daftar import settings as S
 from daftar.operators.ranking import check_limit, top_k
-from daftar.session import within_rows
 
-# At most this many vector elements are broadcast (float64: eight bytes each).
+# At most this many vector elements are broadcast at once (float64: eight bytes each).
 BROADCAST_VALUES = 16_000_000
-_TILE = 1024
+_TILE, _CONE = 1024, 512
 # Scores order at this many decimals, so copies of a vector tie whichever block they fall in.
 SCORE_DECIMALS = 12
+# Added to an upper bound: more than rounding can take away from it.
+SLACK = 1e-9
 
-_HITS = "query_id string, chunk_id string, score double"
+HITS_SCHEMA = "query_id string, chunk_id string, score double"
+
+
+def cone(vectors: np.ndarray) -> tuple[np.ndarray, float]:
+    """The mean direction of unit vectors and the smallest cosine one of them has with it."""
+    middle = vectors.sum(axis=0)
+    length = np.sqrt(middle @ middle)
+    if length < 1e-12:
+        return np.zeros(vectors.shape[1]), -1.0
+    middle /= length
+    return middle, float((vectors @ middle).min())
+
+
+def upper_cosine(to_middle: np.ndarray, least) -> np.ndarray:
+    """No vector of a cone has a larger cosine with a query than this, given the query's with the cone's middle."""
+    away = np.arccos(np.clip(to_middle, -1, 1)) - np.arccos(np.clip(least, -1, 1))
+    return np.cos(np.maximum(away, 0)) + SLACK
 
 
 def _unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,39 +59,45 @@ def _stack(column) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.zeros((0, 1))
 
 
-class _Best:
-    """Running top ``k`` per query for one group of unit query vectors."""
+class Best:
+    """Running top ``k`` per query for one group of unit query vectors; ``floor`` is a score they reach anyway."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray | None = None) -> None:
         self.ids, self.vectors, self.k = ids, vectors, k
-        self.scores: list[np.ndarray | None] = [None] * -(-len(ids) // _TILE)
-        self.names: list[np.ndarray | None] = list(self.scores)
-
-    def feed(self, names: np.ndarray, vectors: np.ndarray) -> None:
-        for tile in range(len(self.scores)):
-            block = self.vectors[tile * _TILE : (tile + 1) * _TILE]
-            found = np.round(block @ vectors.T, SCORE_DECIMALS)
-            picked = _pick(found, names, self.k)
-            if self.scores[tile] is None:
-                self.scores[tile], self.names[tile] = picked
-            else:
-                both = np.hstack([self.scores[tile], picked[0]])
-                self.scores[tile], self.names[tile] = _pick_named(
-                    both, np.hstack([self.names[tile], picked[1]]), self.k
-                )
-
-    def rows(self) -> Iterator[pd.DataFrame]:
-        for tile, scores in enumerate(self.scores):
-            if scores is None:
-                continue
-            ids = self.ids[tile * _TILE : (tile + 1) * _TILE]
-            yield pd.DataFrame(
-                {
-                    "query_id": np.repeat(ids, scores.shape[1]),
-                    "chunk_id": self.names[tile].ravel(),
-                    "score": scores.ravel(),
-                }
-            )
+        self.scores = np.full((len(ids), k), -np.inf)
+        self.names = np.full((len(ids), k), "", "<U1")
+        self.floor = np.full(len(ids), -np.inf) if floor is None else floor.copy()
+        self.skipped = self.met = 0
+
+    def feed(self, names: np.ndarray, vectors: np.ndarray, among: np.ndarray | None = None) -> None:
+        """Take in corpus vectors, sorted by name, for the queries numbered ``among`` or for all."""
+        middle, least = cone(vectors)
+        among = np.arange(len(self.ids)) if among is None else among
+        near = upper_cosine(self.vectors[among] @ middle, least) >= self.floor[among]
+        self.met, self.skipped = self.met + len(among), self.skipped + len(among) - int(near.sum())
+        among = among[near]
+        for at in range(0, len(among), _TILE):
+            some = among[at : at + _TILE]
+            # All queries of a tile are a view, some of them a copy.
+            whole = len(some) == some[-1] - some[0] + 1
+            asked = self.vectors[some[0] : some[-1] + 1] if whole else self.vectors[some]
+            self.take(names, np.round(asked @ vectors.T, SCORE_DECIMALS), some)
+
+    def take(self, names: np.ndarray, scores: np.ndarray, some: np.ndarray) -> None:
+        """Merge the scores of ``names``, which are sorted, with the lists of the queries ``some``."""
+        if names.dtype.itemsize > self.names.dtype.itemsize:
+            self.names = self.names.astype(names.dtype)
+        found, own = _pick(scores, names, self.k)
+        both, kept = np.hstack([self.scores[some], found]), np.hstack([self.names[some], own])
+        self.scores[some], self.names[some] = _pick_named(both, kept, self.k)
+        self.floor[some] = np.maximum(self.floor[some], self.scores[some, -1])
+
+    def rows(self) -> pa.RecordBatch:
+        row, place = np.nonzero(np.isfinite(self.scores))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.ids[row].astype(str)), pa.array(self.names[row, place]), pa.array(self.scores[row, place])],
+            ["query_id", "chunk_id", "score"],
+        )
 
 
 def _pick_named(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,77 +122,46 @@ def _pick(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.take_along_axis(kept, order, 1), names[np.take_along_axis(cols, order, 1)]
 
 
-def _group(ids, scopes, vectors, k: int) -> dict[str, _Best]:
-    unit, alive = _unit(vectors)
-    ids = np.asarray(ids, dtype=str)[alive]
-    scopes = np.asarray(scopes, dtype=str)[alive]
-    return {
-        scope: _Best(ids[scopes == scope], unit[scopes == scope], k) for scope in np.unique(scopes)
-    }
-
-
-def _feed(groups: dict[str, _Best], ids, scopes, vectors) -> None:
-    unit, alive = _unit(vectors)
-    ids, scopes = np.asarray(ids, dtype=str)[alive], np.asarray(scopes, dtype=str)[alive]
-    order = np.argsort(ids, kind="stable")
-    ids, scopes, unit = ids[order], scopes[order], unit[order]
-    for scope, best in groups.items():
-        inside = scopes == scope
-        if inside.any():
-            best.feed(ids[inside], unit[inside])
-
-
-def _to_matrix(column: pa.Array) -> np.ndarray:
+def to_matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
 
-def _broadcast_search(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    # The caller has proven this side small; broadcasting is what ships it to every task.
-    local = queries.toPandas()
-    shared = queries.sparkSession.sparkContext.broadcast(
-        (local["id"].to_numpy(str), local["scope"].to_numpy(str), _stack(local["vector"]))
-    )
+def query_blocks(queries: DataFrame, values: int, block_rows: int) -> Iterator[pd.DataFrame]:
+    """The rows of ``queries`` (id, ..., vector) in blocks that may be broadcast: all of them if they hold
+    at most ``values`` vector elements, else about ``block_rows`` at a time, by a hash of the id."""
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0)).alias("values")).first()
+    blocks = 1 if size["values"] <= values else -(-size["n"] // block_rows)
+    for number in range(blocks):
+        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number)
+        yield mine.toPandas()
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, scopes, vectors = shared.value
-        groups = _group(ids, scopes, vectors, k) if len(ids) else {}
-        for batch in batches:
-            if batch.num_rows and groups:
-                names, where, vecs = (batch.column(i) for i in range(3))
-                _feed(groups, names.to_pylist(), where.to_pylist(), _to_matrix(vecs))
-        for best in groups.values():
-            for rows in best.rows():
-                yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
-
-    return corpus.mapInArrow(search, _HITS)
-
-
-def cell_search(queries: DataFrame, corpus: DataFrame, cell: list[str], k: int) -> DataFrame:
-    """Top ``k`` per query inside each cell; both sides carry the ``cell`` columns and are bounded."""
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        groups = _group(left["id"], left["scope"], _stack(left["vector"]), k)
-        _feed(groups, right["id"], right["scope"], _stack(right["vector"]))
-        return pd.concat([rows for best in groups.values() for rows in best.rows()] or [pd.DataFrame(columns=["query_id", "chunk_id", "score"])])
+def _block_search(local: pd.DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """One pass of the corpus, where it lies, past a block of queries."""
+    unit, alive = _unit(_stack(local["vector"]))
+    ids, scopes = local["id"].to_numpy(str)[alive], local["scope"].to_numpy(str)[alive]
+    shared = corpus.sparkSession.sparkContext.broadcast((ids, scopes, unit))
 
-    return queries.groupBy(*cell).cogroup(corpus.groupBy(*cell)).applyInPandas(search, _HITS)
-
-
-def _block_search(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int) -> DataFrame:
-    n_left = max(1, -(-queries.count() // block_rows))
-    n_right = max(1, -(-corpus.count() // block_rows))
-
-    def blocks(df: DataFrame, mine: str, n: int, other: str, m: int) -> DataFrame:
-        own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        return df.withColumn(mine, own).withColumn(other, every)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, scopes, unit = shared.value
+        best = {s: Best(ids[scopes == s], unit[scopes == s], k) for s in np.unique(scopes)}
+        for batch in batches:
+            if not batch.num_rows or not best:
+                continue
+            names, where = (np.asarray(batch.column(i).to_pylist(), dtype=str) for i in (0, 1))
+            vectors, alive = _unit(to_matrix(batch.column(2)))
+            names, where = names[alive], where[alive]
+            for scope, own in best.items():
+                inside = np.flatnonzero(where == scope)
+                for at in range(0, len(inside), _CONE):
+                    some = inside[at : at + _CONE]
+                    some = some[np.argsort(names[some], kind="stable")]
+                    own.feed(names[some], vectors[some])
+        for own in best.values():
+            yield own.rows()
 
-    left = blocks(queries, "_left", n_left, "_right", n_right)
-    right = blocks(corpus, "_right", n_right, "_left", n_left)
-    return cell_search(left, right, ["_left", "_right"], k)
+    return corpus.mapInArrow(search, HITS_SCHEMA)
 
 
 def dense_search(
@@ -182,7 +177,8 @@ def dense_search(
     """Exact top hits by (cosine desc, id): (query_id, chunk_id, score, rank, source).
 
     ``corpus`` has ``id`` and the vector column, ``queries`` has ``query_id`` and ``vector``. Rows
-    with a NULL or zero vector are in no list. ``scope`` names columns both sides must share.
+    with a NULL or zero vector are in no list. ``scope`` names columns both sides must share. A query
+    side of more than ``broadcast_values`` vector elements goes round in blocks of ``block_rows``.
     """
     check_limit(limit)
     shared = F.concat_ws("\u0001", *scope) if scope else F.lit("")
@@ -193,57 +189,7 @@ def dense_search(
         wrong = F.raise_error(F.concat(F.lit(f"expected {dim} dimensions, got "), F.size("vector").cast("string")))
         checked = F.when(F.size("vector") != dim, wrong.cast("array<float>")).otherwise(F.col("vector"))
         left, right = (side.withColumn("vector", checked) for side in (left, right))
-    if within_rows(left, broadcast_values // (dim or 1024)):
-        found = _broadcast_search(left, right, limit)
-    else:
-        found = _block_search(left, right, limit, block_rows)
-    order = [F.col("score").desc(), F.col("chunk_id")]
-    return top_k(found, ["query_id"], order, limit).withColumn("source", F.lit("dense"))
-
-
-def ann_search(
-    corpus: DataFrame,
-    queries: DataFrame,
-    limit: int = S.RETRIEVE_DEPTH,
-    vector: str = "embedding",
-    tables: int = 8,
-    bucket_length: float = 0.5,
-    seed: int = 7,
-    block_rows: int = S.BLOCK_ROWS,
-) -> DataFrame:
-    """Approximate top hits: random-projection buckets propose, the exact cosine decides.
-
-    A bucket larger than ``block_rows`` is split into salted cells; its queries visit each of them.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    from daftar.functions.vectors import l2_normalize
-
-    check_limit(limit)
-    left = queries.select(F.col("query_id").cast("string").alias("id"), F.lit("").alias("scope"), l2_normalize("vector").alias("vector"))
-    right = corpus.where(F.col(vector).isNotNull()).select(F.col("id").cast("string").alias("id"), F.lit("").alias("scope"), l2_normalize(vector).alias("vector"))
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="_v", outputCol="_h", numHashTables=tables, bucketLength=bucket_length, seed=seed
-    )
-    model = lsh.fit(right.limit(1).withColumn("_v", array_to_vector("vector")))  # only reads the dimension
-
-    def bucketed(side: DataFrame) -> DataFrame:
-        hashed = model.transform(side.withColumn("_v", array_to_vector("vector")))
-        keys = F.transform("_h", lambda h: h)
-        hashed = hashed.select("id", "scope", "vector", F.posexplode(keys).alias("_table", "_key"))
-        return hashed.withColumn("_key", vector_to_array("_key")[0].cast("long"))
-
-    left, right = bucketed(left), bucketed(right)
-    sizes = right.groupBy("_table", "_key").agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.where(F.col("_n") > block_rows).select(
-        "_table", "_key", F.ceil(F.col("_n") / block_rows).cast("int").alias("_salts")
-    )
-    salts = F.coalesce("_salts", F.lit(1))
-    left = left.join(hot, ["_table", "_key"], "left")
-    left = left.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    right = right.join(hot, ["_table", "_key"], "left")
-    right = right.withColumn("_salt", F.pmod(F.xxhash64("id"), salts).cast("int")).drop("_salts")
-    found = cell_search(left, right, ["_table", "_key", "_salt"], limit).distinct()
+    blocks = [_block_search(local, right, limit) for local in query_blocks(left, broadcast_values, block_rows)]
+    found = reduce(DataFrame.unionByName, blocks)
     order = [F.col("score").desc(), F.col("chunk_id")]
     return top_k(found, ["query_id"], order, limit).withColumn("source", F.lit("dense"))

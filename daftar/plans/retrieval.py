@@ -34,7 +34,7 @@ def _search(searches: DataFrame, config: S.RetrievalConfig, index, corpus, vecto
 def ranked_lists(plans: DataFrame, config: S.RetrievalConfig, index=None, corpus=None, vectors=None, **options) -> DataFrame:
     """Every list a plan asks for: (query_id, list_id, rank, chunk_id, score, source).
 
-    ``index`` is :func:`postings`; ``corpus`` has the model's vector column; ``vectors`` is
+    ``index`` is :func:`block_index`; ``corpus`` has the model's vector column; ``vectors`` is
     (question, vector) with each distinct search string embedded once.
     """
     searches = P.fan_out(plans).select(
@@ -83,7 +83,7 @@ def ask(
     open_plans = plans
     if cached is not None:
         open_plans = plans.join(cached.select("query_id"), "query_id", "left_anti")
-    index = L.postings(chunks) if index is None and config.lexical else index
+    index = L.block_index(chunks) if index is None and config.lexical else index
     hits = retrieve(open_plans, config, index, corpus, vectors)
     context = to_context(open_plans, hits, chunks, config, scorer)
     gate = X.refusal_gate(open_plans, context, floor)

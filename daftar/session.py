@@ -58,19 +58,26 @@ def _state(spark: SparkSession, path: str) -> str:
     return f"{len(files)}-{max((f.getModificationTime() for f in files), default=0)}"
 
 
-def stored(df: DataFrame, name: str, source: str) -> DataFrame:
-    """A table derived from the files at ``source``, written once per application and read from there on.
+def stored_path(spark: SparkSession, name: str, source: str, write) -> str:
+    """The folder that ``write(folder)`` filled, once per application, with what is derived from ``source``.
 
-    It lies in the shared checkpoint folder, so that plans over it start from a scan that prunes
-    columns and takes filters, and survive lost executors. Changed source files make a new table.
+    It lies in the shared checkpoint folder. Changed source files make a new one.
     """
-    spark = df.sparkSession
     key = (spark.sparkContext.applicationId, f"{name} {source} {_state(spark, source)}")
     if key not in _tables:
         path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        write(path)
         _tables[key] = path
-    return spark.read.schema(df.schema).parquet(_tables[key])
+    return _tables[key]
+
+
+def stored(df: DataFrame, name: str, source: str) -> DataFrame:
+    """A table derived from the files at ``source``, written once per application and read from there on.
+
+    Plans over it start from a scan that prunes columns and takes filters, and survive lost executors.
+    """
+    path = stored_path(df.sparkSession, name, source, df.write.parquet)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def within_rows(df: DataFrame, bound: int) -> bool:
