@@ -78,22 +78,62 @@ def _holds(t):
     return reserve.unionByName(settle)
 
 
-@query("spend_admission")
+# One event of every day in each step; the state is the total, the calls and what is held.
+_WALK = """
+    WITH RECURSIVE held AS (
+      SELECT event_id, ts, event_id AS request_id, 'reserve' AS kind, value AS usd FROM events
+      UNION ALL SELECT event_id + 10000000, ts + INTERVAL 30 MINUTES, event_id, 'settle', value / 2 FROM events WHERE event_type <> 'error'),
+    e AS (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS n,
+                 CAST(usd AS DECIMAL(38, 12)) AS amount FROM held),
+    walk AS (
+      SELECT date, 0::BIGINT AS n, 0::BIGINT AS event_id, NULL::BOOLEAN AS accepted, 0::DECIMAL(38, 12) AS usd, 0::BIGINT AS calls, MAP {}::MAP(BIGINT, DECIMAL(38, 12)) AS open
+      FROM (SELECT DISTINCT date FROM e) d
+      UNION ALL
+      SELECT w.date, e.n, e.event_id, CASE WHEN e.kind = 'reserve' THEN w.usd + e.amount < 2500 END,
+        CASE WHEN e.kind = 'reserve' THEN CASE WHEN w.usd + e.amount < 2500 THEN w.usd + e.amount ELSE w.usd END
+             WHEN map_contains(w.open, e.request_id) THEN greatest(0, w.usd - w.open[e.request_id] + e.amount) ELSE w.usd END,
+        w.calls + CASE WHEN e.kind = 'settle' AND map_contains(w.open, e.request_id) THEN 1 ELSE 0 END,
+        CASE WHEN e.kind = 'settle' THEN map_from_entries(list_filter(map_entries(w.open), lambda h: h.key <> e.request_id))
+             WHEN w.usd + e.amount < 2500 THEN map_concat(w.open, MAP {e.request_id: e.amount}) ELSE w.open END
+      FROM walk w JOIN e ON e.date = w.date AND e.n = w.n + 1)
+"""
+
+
+@query("spend_admission", _WALK + "SELECT event_id, accepted, round(usd::DOUBLE, 6) AS usd, calls FROM walk WHERE n > 0")
 def _(t):
     return G.spend_admission(_holds(t), 2500.0)
 
 
-@query("daily_admission")
+@query(
+    "daily_admission",
+    _WALK + """SELECT date, count(*) FILTER (WHERE accepted) AS accepted, count(*) FILTER (WHERE NOT accepted) AS rejected,
+        round(arg_max(usd, n)::DOUBLE, 6) AS usd, arg_max(calls, n) AS calls FROM walk WHERE n > 0 GROUP BY date""",
+)
 def _(t):
     return G.daily_admission(_holds(t), 2500.0)
 
 
-@query("sliding_window_admission")
+def _sql_windows(key: str, limit: int, seconds: int) -> str:
+    """One request of every key in each step; the state is the accepted times of the last window."""
+    return f"""
+    WITH RECURSIVE e AS (SELECT event_id, {key} AS k, epoch_us(ts) AS us, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS n FROM events),
+    walk AS (
+      SELECT k, 0::BIGINT AS n, 0::BIGINT AS event_id, false AS accepted, []::BIGINT[] AS kept FROM (SELECT DISTINCT k FROM e) d
+      UNION ALL
+      SELECT w.k, e.n, e.event_id, len(list_filter(w.kept, lambda x: e.us - x < {seconds * 1_000_000})) < {limit},
+        CASE WHEN len(list_filter(w.kept, lambda x: e.us - x < {seconds * 1_000_000})) < {limit}
+             THEN list_append(list_filter(w.kept, lambda x: e.us - x < {seconds * 1_000_000}), e.us)
+             ELSE list_filter(w.kept, lambda x: e.us - x < {seconds * 1_000_000}) END
+      FROM walk w JOIN e ON e.k = w.k AND e.n = w.n + 1)
+    SELECT event_id, accepted FROM walk WHERE n > 0"""
+
+
+@query("sliding_window_admission", _sql_windows("user_id", 2, 6 * 3600))
 def _(t):
     return G.sliding_window_admission(t.events, 2, 6 * 3600)
 
 
-@query("sliding_window_global")
+@query("sliding_window_global", _sql_windows("'all'", 3, 900))
 def _(t):
     # one key holds every request: the hot case
     return G.sliding_window_admission(t.events.withColumn("k", F.lit("all")), 3, 900, key="k")

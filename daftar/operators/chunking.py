@@ -108,19 +108,24 @@ def _window_udf(limit: int, overlap: int):
 
 
 def _numbered(pieces: Column) -> Column:
-    """Number pieces per article. Documents without repeated headings take the linear branch."""
-
-    def by_position(piece: Column, i: Column) -> Column:
-        return piece.withField("seq", i.cast("int"))
-
-    def by_article(piece: Column, i: Column) -> Column:
-        earlier = F.filter(F.slice(pieces, F.lit(1), i), lambda p: p.article.eqNullSafe(piece.article))
-        return piece.withField("seq", F.size(earlier).cast("int"))
+    """Number pieces per article, in n log n steps. Documents of one article take the linear branch.
 
+    Sorted by article, each article is a run, and a run counts from 0; sorting back by place deals
+    the numbers out. No lambda refers to a whole array, which would be evaluated once per element.
+    """
+    placed = F.transform(pieces, lambda p, i: F.struct(p.article.isNull().alias("none"), F.coalesce(p.article, F.lit("")).alias("name"), i.alias("place")))
+    runs = F.array_sort(placed)
+    nothing = F.struct(F.lit(None).cast("boolean").alias("none"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("place"))
+    before = F.concat(F.array(nothing), F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))))
+    opens = F.zip_with(runs, before, lambda one, last: ~(one["none"].eqNullSafe(last["none"]) & one["name"].eqNullSafe(last["name"])))
+    starts = F.filter(F.transform(opens, lambda first, j: F.when(first, j)), lambda j: j.isNotNull())
+    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(runs)))
+    counted = F.flatten(F.zip_with(starts, ends, lambda low, high: F.sequence(F.lit(0), high - low - 1)))
+    dealt = F.array_sort(F.zip_with(runs, counted, lambda one, n: F.struct(one["place"].alias("place"), n.alias("seq"))))
     one_article = F.size(F.array_distinct(F.transform(pieces, lambda p: F.coalesce(p.article, F.lit(""))))) <= 1
-    return F.when(one_article, F.transform(pieces, by_position)).otherwise(
-        F.transform(pieces, by_article)
-    )
+    by_place = F.transform(pieces, lambda p, i: p.withField("seq", i.cast("int")))
+    by_article = F.zip_with(pieces, dealt, lambda p, d: p.withField("seq", d["seq"].cast("int")))
+    return F.when(one_article | (F.size(pieces) == 0), by_place).otherwise(by_article)
 
 
 def _pieces(docs: DataFrame, limit: int, overlap: int, heading: str) -> DataFrame:

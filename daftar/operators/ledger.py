@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from daftar import settings as S
 from daftar.functions.text import estimate_tokens
+from daftar.operators.ordered import running_totals
 
 
 def usage_cost(input_tokens, output_tokens, price_in, price_out) -> Column:
@@ -137,14 +139,21 @@ def sliding_window_admission(
     return ordered.mapInPandas(_admission_fold(limit, window_us), "event_id long, accepted boolean")
 
 
-def _spend_fold(cap: float):
+_MONEY = "decimal(38,12)"  # a price has six decimals and a token is a millionth
+
+
+def _spend_fold(cap: Decimal):
+    """Walk the rows of days in order; each row says where its day's walk starts and what it finds held."""
+
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        day, usd, calls, held = None, 0.0, 0, {}
+        day, usd, calls, held = None, Decimal(0), 0, {}
         for frame in frames:
             rows = []
             for row in frame.itertuples(index=False):
                 if row.date != day:
-                    day, usd, calls, held = row.date, 0.0, 0, {}
+                    day, usd, calls, held = row.date, row.start_usd, row.start_calls, {}
+                if row.prior is not None:
+                    held[row.request_id] = row.prior
                 accepted = None
                 if row.kind == "reserve":
                     accepted = usd + row.usd < cap
@@ -152,7 +161,7 @@ def _spend_fold(cap: float):
                         usd += row.usd
                         held[row.request_id] = row.usd
                 elif row.request_id in held:
-                    usd = max(0.0, usd - held.pop(row.request_id) + row.usd)
+                    usd = max(Decimal(0), usd - held.pop(row.request_id) + row.usd)
                     calls += 1
                 rows.append((row.event_id, accepted, usd, calls))
             yield pd.DataFrame(rows, columns=["event_id", "accepted", "usd", "calls"])
@@ -160,47 +169,67 @@ def _spend_fold(cap: float):
     return fold
 
 
+def _admitted(events: DataFrame, cap_usd: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is sure (date, ts, event_id, accepted, usd, calls), what was walked (event_id, ...), and the walked rows."""
+    cap = F.lit(Decimal(str(cap_usd))).cast(_MONEY)
+    kept = F.coalesce(F.col("usd").cast(_MONEY), F.lit(0).cast(_MONEY)).alias("usd")
+    dated = events.select(F.to_date("ts").cast("string").alias("date"), "ts", "event_id", "request_id", "kind", kept)
+    # As if every reserve were accepted: what each event adds. A request has a handful of events.
+    before = Window.partitionBy("date", "request_id").orderBy("ts", "event_id")
+    at = F.struct("ts", "event_id")
+    previous = F.lag(F.struct("kind", "usd", at.alias("at"))).over(before)
+    known = dated.withColumn("_held", F.when((previous["kind"] == "reserve") & F.col("request_id").isNotNull(), previous))
+    closes = (F.col("kind") == "settle") & F.col("_held").isNotNull()
+    reserve = F.col("kind") == "reserve"
+    delta = F.when(reserve, F.col("usd")).when(closes, F.col("usd") - F.col("_held.usd")).otherwise(F.lit(0))
+    known = known.withColumns({"delta": delta.cast(_MONEY), "call": closes.cast("long")})
+    summed = running_totals(known, ["date"], ["ts", "event_id"], ["delta", "call"])
+    summed = summed.withColumns({"cum_delta": F.col("cum_delta").cast(_MONEY), "_at": at})
+    # Up to the first reserve that would reach the cap, or the first total that would be below
+    # nothing, every reserve is accepted and the running totals are the state.
+    ends = (reserve & (F.col("cum_delta") >= cap)) | (F.col("cum_delta") < 0)
+    stops = summed.where(ends).groupBy("date").agg(
+        F.min("_at").alias("_stop"),
+        F.min_by((F.col("cum_delta") - F.col("delta")).cast(_MONEY), F.col("_at")).alias("start_usd"),
+        F.min_by(F.col("cum_call") - F.col("call"), F.col("_at")).alias("start_calls"),
+    )
+    placed = summed.join(F.broadcast(stops), "date", "left")  # a row per day at most
+    free = placed.where(F.col("_stop").isNull() | (F.col("_at") < F.col("_stop")))
+    sure = free.select("date", "ts", "event_id", F.when(reserve, F.lit(True)).alias("accepted"), F.col("cum_delta").alias("usd"), F.col("cum_call").alias("calls"))
+    tail = placed.where(F.col("_at") >= F.col("_stop"))
+    prior = F.when(F.col("_held.at") < F.col("_stop"), F.col("_held.usd")).alias("prior")
+    ordered = tail.select("date", "ts", "event_id", "request_id", "kind", "usd", prior, "start_usd", "start_calls")
+    ordered = ordered.repartition("date").sortWithinPartitions("date", "ts", "event_id")
+    walked = ordered.drop("ts").mapInPandas(_spend_fold(Decimal(str(cap_usd))), f"event_id long, accepted boolean, usd {_MONEY}, calls long")
+    return sure, walked, tail
+
+
 def spend_admission(events: DataFrame, cap_usd: float) -> DataFrame:
     """(event_id, accepted, usd, calls) after each reserve or settle, in order within a UTC day.
 
-    ``events`` has event_id, ts, request_id, kind (reserve or settle) and usd. A reserve is rejected
-    when held plus estimate reaches the cap; a rejected one holds nothing and its settle is ignored.
-    Each day is one ordered pass with a running total and its open holds as state.
+    ``events`` has event_id, ts, request_id, kind (reserve or settle) and usd; a null amount is
+    nothing. A reserve is rejected when held plus estimate reaches the cap; a rejected one holds
+    nothing and its settle is ignored. Amounts are added up as decimals.
+
+    Running totals decide all of a day up to where it could first reach the cap, in as many tasks as
+    the day has rows for. Only what comes after is one ordered pass, with the open holds as state.
     """
-    dated = events.withColumn("date", F.to_date("ts").cast("string"))
-    ordered = dated.repartition("date").sortWithinPartitions("date", "ts", "event_id")
-    columns = ordered.select("date", "event_id", "request_id", "kind", "usd")
-    return columns.mapInPandas(_spend_fold(cap_usd), "event_id long, accepted boolean, usd double, calls long")
+    sure, walked, _ = _admitted(events, cap_usd)
+    found = sure.select("event_id", "accepted", "usd", "calls").unionByName(walked)
+    return found.withColumn("usd", F.col("usd").cast("double"))
 
 
 def daily_admission(events: DataFrame, cap_usd: float) -> DataFrame:
-    """Per UTC day: accepted and rejected reserves, final usd and settled calls.
-
-    Days that cannot reach the cap are summed without ordering; the rest go through
-    :func:`spend_admission`, one streaming pass with constant state per day.
-    """
-    dated = events.withColumn("date", F.to_date("ts").cast("string"))
-    settles = dated.where("kind = 'settle'").groupBy("date", "request_id").agg(F.sum("usd").alias("_actual"))
-    reserves = dated.where("kind = 'reserve'").select("date", "request_id", F.col("usd").alias("_held"))
-    paired = reserves.join(settles, ["date", "request_id"], "left")
-    worst = F.col("_held") + F.coalesce("_actual", F.lit(0.0))
-    days = paired.groupBy("date").agg(
-        F.sum(worst).alias("_worst"),
-        F.sum(F.coalesce("_actual", "_held")).alias("usd"),
-        F.count(F.lit(1)).alias("accepted"),
-        F.count("_actual").alias("calls"),
-    )
-    easy = days.where(F.col("_worst") < cap_usd).select("date", "accepted", F.lit(0).cast("long").alias("rejected"), "usd", "calls")
-    hard = dated.join(days.where(F.col("_worst") >= cap_usd).select("date"), "date", "left_semi")
-    walked = spend_admission(hard, cap_usd).join(dated.select("event_id", "date", "ts"), "event_id")
+    """Per UTC day: accepted and rejected reserves, final usd and settled calls."""
+    sure, walked, tail = _admitted(events, cap_usd)
+    rest = tail.select("event_id", "date", "ts").join(walked, "event_id").select(*sure.columns)
     last = F.struct("ts", "event_id")
-    tight = walked.groupBy("date").agg(
+    return sure.unionByName(rest).groupBy("date").agg(
         F.count_if(F.col("accepted")).alias("accepted"),
         F.count_if(~F.col("accepted")).alias("rejected"),
-        F.max_by("usd", last).alias("usd"),
+        F.max_by(F.col("usd").cast("double"), last).alias("usd"),
         F.max_by("calls", last).alias("calls"),
     )
-    return easy.unionByName(tight)
 
 
 # --- attempts ---------------------------------------------------------------------------------

@@ -1,49 +1,43 @@
-"""Order statistics without sorting anything in one task.
+"""Order statistics without sorting a group in one task.
 
-Values are first reduced to distinct (group, value) counts. A running total over them is taken in
-two levels: inside value buckets in parallel, then over one small total per bucket.
+Rows are dealt to partitions once, by ranges of (group, value). Each partition is summed on its own;
+what lies before it in a group is one small sum per partition, because only the first group of a
+partition can have begun in an earlier one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from daftar.session import cut_lineage
 
-def _buckets(df: DataFrame) -> int:
-    """Value buckets per group: as many as a shuffle has partitions, so that they grow with the cluster."""
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-
-def running_totals(df: DataFrame, by: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
+def running_totals(df: DataFrame, by: Sequence[str], order: str | Sequence[str], values: Sequence[str]) -> DataFrame:
     """Add ``cum_<value>``: the inclusive running sum over ``order`` inside each ``by`` group.
 
-    ``df`` has one row per (by, order). Bucket edges are approximate percentiles, so a group of any
-    size or shape is spread over many tasks; the totals are exact wherever the edges fall.
+    ``df`` has one row per (by, order). It is computed once and dealt by one range exchange; the
+    dealing is stored, so that every later pass sees the same partitions. A group of any size is
+    spread over as many partitions as its rows fill. Null groups are groups.
     """
-    by = list(by)
-    keyed = df if by else df.withColumn("_all", F.lit(0))
-    keys = by or ["_all"]
-    count = _buckets(df)
-    cuts = F.array(*(F.lit(i / count) for i in range(1, count)))
-    edges = keyed.groupBy(*keys).agg(F.percentile_approx(order, cuts, F.lit(1000)).alias("_edges"))
-    # Without groups the edges are one row; a join on the literal key would become a Cartesian product.
-    met = keyed.join(edges, keys) if by else keyed.join(F.broadcast(edges.drop("_all")))
-    placed = met.withColumn(
-        "_bucket", F.size(F.filter("_edges", lambda e: e < F.col(order)))
-    ).drop("_edges")
-    totals = placed.groupBy(*keys, "_bucket").agg(*(F.sum(v).alias(f"_t_{v}") for v in values))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "_bucket", *(F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values)
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.join(offsets, [*keys, "_bucket"])
-    for v in values:
-        summed = summed.withColumn(f"cum_{v}", F.sum(v).over(inside) + F.col(f"_o_{v}"))
-    return summed.drop("_bucket", *(f"_o_{v}" for v in values), *([] if by else ["_all"]))
+    by, order = list(by), [order] if isinstance(order, str) else list(order)
+    dealt = cut_lineage(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumns({f"cum_{v}": F.sum(v).over(inside) for v in values})
+
+    totals = dealt.groupBy(*by, "_part").agg(*(F.sum(v).alias(f"_t_{v}") for v in values))
+    # One row per partition at most is not the first of its group, however many groups there are.
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = totals.withColumns({f"_o_{v}": F.sum(f"_t_{v}").over(before) for v in values})
+    earlier = earlier.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy("_part"))).where("_at > 1")
+    offsets = earlier.select(F.col("_part").alias("_p"), *(F.col(b).alias(f"_b_{b}") for b in by), *(f"_o_{v}" for v in values))
+    same = reduce(lambda c, b: c & F.col(b).eqNullSafe(F.col(f"_b_{b}")), by, F.col("_part") == F.col("_p"))
+    met = summed.join(F.broadcast(offsets), same, "left")
+    met = met.withColumns({f"cum_{v}": F.col(f"cum_{v}") + F.coalesce(f"_o_{v}", F.lit(0)) for v in values})
+    return met.select(*df.columns, *(f"cum_{v}" for v in values))
 
 
 def _counted(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

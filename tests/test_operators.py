@@ -1,6 +1,9 @@
 """Retrieval, metric, cache and admission fixtures, and brute-force checks for what SQL cannot say."""
 
-from collections import deque
+import random
+import time
+from collections import Counter, deque
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,3 +200,92 @@ def test_configs():
         S.RetrievalConfig.named("nope")
     with pytest.raises(ValueError):
         S.RetrievalConfig("x", dense=False, lexical=False)
+
+
+def test_running_totals_span_partitions_and_null_groups(spark):
+    from daftar.operators.ordered import running_totals
+
+    rows = spark.range(5000).select(
+        F.when(F.col("id") % 5 == 0, None).when(F.col("id") % 5 == 1, "small").otherwise("hot").alias("g"),
+        ((F.col("id") * 7919) % 5000).alias("at"), (F.col("id") % 11).alias("n"), F.col("id").alias("n2"),
+    )
+    found = running_totals(rows, ["g"], "at", ["n", "n2"]).collect()
+    for group in (None, "small", "hot"):
+        total = total2 = 0
+        for r in sorted((r for r in found if r.g == group), key=lambda r: r["at"]):
+            total, total2 = total + r.n, total2 + r.n2
+            assert (r.cum_n, r.cum_n2) == (total, total2)
+    whole = running_totals(rows, [], "at", ["n"]).where("at = 4999").first()
+    assert whole.cum_n == rows.agg(F.sum("n")).first()[0]
+
+
+def walk_spend(events, cap):
+    usd, calls, held, out = Decimal(0), 0, {}, {}
+    for ts, event, request, kind, amount in sorted(events):
+        amount, accepted = Decimal(str(amount)), None
+        if kind == "reserve":
+            accepted = usd + amount < cap
+            if accepted:
+                usd += amount
+                held[request] = amount
+        elif request in held:
+            usd = max(Decimal(0), usd - held.pop(request) + amount)
+            calls += 1
+        out[event] = (accepted, round(float(usd), 9), calls)
+    return out
+
+
+def test_spend_admission_agrees_with_a_walk(spark):
+    rng = random.Random(9)
+    days, rows = {}, []
+    for day, (cap_pressure, n) in enumerate([(0.1, 80), (1.0, 300), (3.0, 300), (0.5, 200)]):
+        own = []
+        for i in range(n):
+            request = rng.randint(0, n // 2)  # requests that reserve again, settle twice, settle unreserved
+            kind, amount = rng.choice(["reserve", "reserve", "settle"]), round(rng.random() * cap_pressure, 6)
+            own.append((f"2024-01-0{day + 1} {rng.randint(0, 23):02d}:00:00", day * 1000 + i, request, kind, amount))
+        days[day] = own
+        rows += own
+    events = spark.createDataFrame(rows, "at string, event_id long, request_id long, kind string, usd double").withColumn("ts", F.col("at").cast("timestamp"))
+    want = {k: v for own in days.values() for k, v in walk_spend(own, Decimal(40)).items()}
+    found = {r.event_id: (r.accepted, round(r.usd, 9), r.calls) for r in G.spend_admission(events, 40.0).collect()}
+    assert found == want
+    assert any(v[0] is False for v in want.values())
+    daily = {r.date: r for r in G.daily_admission(events, 40.0).collect()}
+    for day, own in days.items():
+        verdicts = [want[e[1]] for e in sorted(own)]
+        row = daily[f"2024-01-0{day + 1}"]
+        assert (row.accepted, row.rejected) == (sum(v[0] is True for v in verdicts), sum(v[0] is False for v in verdicts))
+        assert (round(row.usd, 9), row.calls) == verdicts[-1][1:]
+
+
+def test_hot_day_of_a_million_events_is_not_one_task(spark):
+    """Below the cap nothing is walked: the running totals of one day come from several partitions."""
+    events = spark.range(1_000_000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") % 80_000).alias("ts"),
+        F.floor(F.col("id") / 2).alias("request_id"), F.when(F.col("id") % 2 == 0, "reserve").otherwise("settle").alias("kind"), F.lit(0.001).alias("usd"),
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4MB")  # else a day this small is one task
+    try:
+        sure, _, tail = G._admitted(events, 1_000_000.0)
+        assert tail.isEmpty() and sure.count() == 1_000_000
+        assert sure.groupBy(F.spark_partition_id()).count().count() > 1
+        last = G.daily_admission(events, 1_000_000.0).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert (last.accepted, last.rejected, last.calls) == (500_000, 0, 500_000) or last.calls > 490_000
+
+
+def test_pieces_of_many_sections_are_numbered_in_seconds(spark):
+    from daftar.operators.chunking import _numbered
+
+    articles = [None if i % 1000 == 0 else str(i % 7000) for i in range(20_000)]
+    row = spark.createDataFrame([([(a, "x", 0) for a in articles],), ([],), (None,)], "p array<struct<article:string,text:string,seq:int>>")
+    start = time.perf_counter()
+    found = row.select(_numbered(F.col("p")).alias("p")).collect()
+    assert time.perf_counter() - start < 20
+    seen = Counter()
+    for a, piece in zip(articles, found[0].p):
+        assert (piece.article, piece.seq) == (a, seen[a])
+        seen[a] += 1
+    assert found[1].p == [] and found[2].p is None
