@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daftar import settings as S
@@ -33,16 +33,29 @@ def pair_reject_reason(tags: tuple[str, ...] = S.DIALECT_TAGS) -> Column:
     return F.coalesce(*(F.when(broken, F.lit(reason)) for broken, reason in rules))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of text files of any size, lines counted from 1 in each file.
+
+    A file is read in as many tasks as it has splits. Lines are numbered in two passes: the first
+    counts the lines of each split, the second adds what lies before the split. Both read the same
+    splits in the same order, which is what makes a row's number within its task the same in both.
+    """
+    split = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")]
+    rows = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_name").alias("file"), *split, F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line")
+    )
+    # One row per split: the number of its first row, and how many lines the splits before it have.
+    splits = rows.groupBy("_path", "_start").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    number = F.col("_before") + F.col("_row") - F.col("_first") + 1
+    return rows.join(splits, ["_path", "_start"]).select("file", number.alias("line_no"), "line")
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Every non-blank line of JSONL files: file, line, the pair's fields and ``reject_reason``."""
-    raw = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line")
-    )
-    raw = raw.where(~T.is_blank("line"))
-    parsed = raw.select(
-        "file", (F.col("pos") + 1).alias("line_no"), "line",
-        F.try_parse_json("line").alias("_v"),
-    )
+    raw = numbered_lines(spark, path).where(~T.is_blank("line"))
+    parsed = raw.select("file", "line_no", "line", F.try_parse_json("line").alias("_v"))
 
     def field(name: str, kind: str) -> Column:
         return F.try_variant_get("_v", f"$.{name}", kind)
@@ -76,19 +89,23 @@ def load_pairs(spark: SparkSession, path: str) -> DataFrame:
     good = fail_when(
         pairs, F.col("reject_reason").isNotNull(), F.concat_ws(": ", where, "reject_reason")
     )
-    repeats = good.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.max(where).alias("_at"))
-    message = F.concat(F.col("_at"), F.lit(": duplicate pair id "), F.col("id"))
-    unique = fail_when(repeats, F.col("_n") > 1, message).select("id")
-    return good.join(unique, "id").select(*FIELDS, "derived_from").orderBy("id")
+    # The key is never null: a join on the id itself would filter rows without one before they are checked.
+    good = good.withColumn("_key", F.coalesce("id", F.lit("")))
+    repeats = good.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.max(where).alias("_at"))
+    message = F.concat(F.col("_at"), F.lit(": duplicate pair id "), F.col("_key"))
+    unique = fail_when(repeats, F.col("_n") > 1, message).select("_key")
+    return good.join(unique, "_key").select(*FIELDS, "derived_from").orderBy("id")
 
 
 def save_pairs(pairs: DataFrame, path: str) -> None:
-    """One JSONL file, keys in alphabetical order, lines sorted by id; repeated ids fail."""
+    """JSONL files that are sorted by id in the order of their names, keys in alphabetical order; repeated ids fail.
+
+    A labelled set that fits one task is one file; a larger one has a file for each range of ids.
+    """
     repeats = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
     unique = fail_when(repeats, F.col("_n") > 1, F.concat(F.lit("duplicate pair id "), F.col("id")))
     ordered = pairs.join(unique.select("id"), "id").select(*sorted(FIELDS))
-    # The range exchange sorts across files; a labelled set this small ends up in one of them.
-    ordered.repartitionByRange(1, "id").sortWithinPartitions("id").write.mode("overwrite").json(path)
+    ordered.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").json(path)
 
 
 SCORES = "pair_id string, answerable boolean, top_score double"

@@ -72,3 +72,44 @@ def test_versions(spark, tmp_path):
     assert U.write_version(spark.range(3), root) == 1
     assert U.write_version(spark.range(5), root) == 2
     assert U.read_version(spark, root).count() == 5 and U.read_version(spark, root, 1).count() == 3
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    lines = [f"line {i}" if i % 7 else "" for i in range(20_000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.txt").write_text("only\r\nthis")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = L.numbered_lines(spark, str(tmp_path / "*.txt"))
+        assert found.rdd.getNumPartitions() > 1
+        rows = {(r.file, r.line_no): r.line for r in found.collect()}
+        splits = spark.read.text(str(tmp_path / "a.txt")).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert splits > 5
+    assert rows == {("a.txt", i): line for i, line in enumerate(lines, 1)} | {("b.txt", 1): "only\r", ("b.txt", 2): "this"}
+
+
+def test_pairs_of_several_files_round_trip_and_name_the_line(spark, tmp_path):
+    def pair(i):
+        return {"id": f"p{i:04d}", "question": "q", "dialect_tag": "msa", "answer": "a", "source_doc": "d", "source_chunk_ids": ["d:p:0"]}
+
+    path = tmp_path / "pairs.jsonl"
+    path.write_text("\n".join(json.dumps(pair(i)) for i in range(3000)) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        pairs = L.load_pairs(spark, str(path))
+        L.save_pairs(pairs, str(tmp_path / "out"))
+        assert L.load_pairs(spark, str(tmp_path / "out")).count() == 3000
+        names = sorted(p for p in (tmp_path / "out").iterdir() if p.suffix == ".json")
+        ids = [json.loads(line)["id"] for p in names for line in p.read_text().splitlines()]
+        assert ids == sorted(ids) and len(ids) == 3000
+        whole = path.read_text()
+        path.write_text(whole + '\n{"id": 5}\n')
+        with pytest.raises(Exception, match="pairs.jsonl:3002: id: blank"):
+            L.load_pairs(spark, str(path)).collect()
+        path.write_text(whole + json.dumps(pair(17)) + "\n")
+        with pytest.raises(Exception, match="pairs.jsonl:3001: duplicate pair id p0017"):
+            L.load_pairs(spark, str(path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
