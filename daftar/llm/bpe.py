@@ -16,6 +16,7 @@ import base64
 import hashlib
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ from daftar.llm.common import slices
 
 _LONG = 192
 _BLOCK = 4_000_000  # sum of squared word lengths in one recursive query: bounds what it keeps
-_MOST_WORDS = 200_000  # encoded words a task remembers
+_MOST_WORDS = 250_000  # words met lately that a worker remembers, besides as many of those before them
 #: White space of Unicode, as the pattern's \s has it. Fixed values.
 _SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -119,7 +120,11 @@ def splitter(pattern: str, quick: bool):
 
 
 class Codec:
-    """One task's DuckDB with the merge table and the vocabulary, and the words met so far."""
+    """A worker's DuckDB with the merge table and the vocabulary, and the words met lately.
+
+    Words are kept in two generations: when the younger one is full it becomes the older one, and
+    words that are met again move back. What is met often is never encoded twice.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pairs: np.ndarray, merged: np.ndarray) -> None:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB"})
@@ -130,11 +135,17 @@ class Codec:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM named")
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.words: dict[str, tuple[int, str, bytes]] = {}  # word -> number of tokens, ids as text, decoded bytes
+        self.before: dict[str, tuple[int, str, bytes]] = {}
 
     def close(self) -> None:
-        """A worker that goes on to other tasks keeps neither the database nor the words."""
         self.db.close()
         self.words.clear()
+        self.before.clear()
+
+    def age(self) -> None:
+        """Between pieces of work: keep two generations of words at most."""
+        if len(self.words) > _MOST_WORDS:
+            self.words, self.before = {}, self.words
 
     def _positions(self, lists: list) -> pa.Table:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -197,7 +208,14 @@ class Codec:
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode the words not met before, and decode what came out."""
-        fresh = [w for w in dict.fromkeys(words) if w not in self.words]
+        fresh = []
+        for word in set(words).difference(self.words):
+            known = self.before.pop(word, None)
+            if known is None:
+                fresh.append(word)
+            else:
+                self.words[word] = known
+        fresh.sort()
         for at in range(0, len(fresh), 12_000):
             some = fresh[at : at + 12_000]
             ids = self.encode(some)
@@ -205,6 +223,22 @@ class Codec:
                 self.words[word] = (len(row), " ".join(map(str, row)), raw)
 
 
+_kept: dict[str, Codec] = {}
+
+
+def worker_codec(call: str, given) -> Codec:
+    """The codec of a call, kept from task to task by the worker; one of an earlier call is closed.
+
+    What it remembers is bounded, and a lost worker only loses time.
+    """
+    if call not in _kept:
+        for old in _kept.values():
+            old.close()
+        _kept.clear()
+        _kept[call] = Codec(*given.value)
+    return _kept[call]
+
+
 def encode_texts(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str, quick: bool = True, with_ids: bool = False
 ) -> DataFrame:
@@ -216,16 +250,18 @@ def encode_texts(
     """
     pairs, merged = merge_table(ranks)
     given = docs.sparkSession.sparkContext.broadcast((ranks, pairs, merged))  # bounded: the vocabulary
+    call = uuid.uuid4().hex
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from daftar.llm.bpe import worker_codec  # the worker's own module, which outlives the task
+
         codec, split = None, splitter(pattern, quick)
         for part in parts:
             for piece in slices(part, 2 << 20):
-                codec = codec or Codec(*given.value)
+                codec = codec or worker_codec(call, given)
+                codec.age()
                 lists = [split(t) if t else [] for t in piece.column(1).to_pylist()]
-                if len(codec.words) > _MOST_WORDS:
-                    codec.words.clear()
                 codec.learn(w for words in lists for w in words)
                 known = codec.words
                 counts, hashes, decoded, ids = [], [], [], []
@@ -240,8 +276,6 @@ def encode_texts(
                 arrays = [piece.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
                 arrays += [pa.array(ids, pa.list_(pa.int32()))] * with_ids
                 yield pa.RecordBatch.from_arrays(arrays, names)
-        if codec is not None:
-            codec.close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daftar.llm.common import Scratch, over_rows, slices
+from daftar.llm.sieve import without
 
 #: Fixed masks: 1 takes a word into the seed, 0 ignores it.
 MASKS = ("1111011", "110010111", "1101000111", "111100011")
@@ -261,6 +262,19 @@ def overlaps(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", least: int = 13, least_words: int = 5) -> DataFrame:
-    """The rows of ``docs`` that overlap no benchmark item, all columns kept."""
+    """The rows of ``docs`` that overlap no benchmark item, all columns kept.
+
+    Rows that repeat an id go together. Rows without an id are judged each by its text.
+    """
+    scratch = Scratch(docs.sparkSession, "clean")
     found = overlaps(docs, benchmark, item_id, least, least_words).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    kind = docs.schema["doc_id"].dataType
+    kept = without(docs, scratch.put(found.select(F.col("doc_id").cast(kind).alias("doc_id")), "found"), "doc_id")
+    nameless = docs.where("doc_id IS NULL")
+    if nameless.isEmpty():
+        return kept
+    texts = nameless.select(F.xxhash64("text").alias("doc_id"), "text")
+    held = scratch.put(overlaps(texts, benchmark, item_id, least, least_words).select("doc_id").distinct(), "nameless")
+    mark = F.broadcast(held.select(F.col("doc_id").alias("_h"))) if held.count() <= 2_000_000 else held.select(F.col("doc_id").alias("_h"))
+    judged = kept.where("doc_id IS NULL").join(mark, F.xxhash64("text") == F.col("_h"), "left_anti")
+    return kept.where("doc_id IS NOT NULL").unionByName(judged)

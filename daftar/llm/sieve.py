@@ -53,3 +53,23 @@ def sieve(keys: DataFrame, count: int) -> Sieve:
     words = np.zeros(1 << (power - 6), np.uint64)
     words[table["cell"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
     return Sieve(power, words)
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str, most: int = 2_000_000) -> DataFrame:
+    """The rows whose ``key`` is not in ``gone``, which has that one column; null keys stay. No row is shuffled for it.
+
+    Up to ``most`` keys are broadcast. Beyond that a filter of bounded size goes round, and only rows
+    that it cannot clear meet an exact join.
+    """
+    count = gone.count()
+    if count <= most:
+        return rows.join(F.broadcast(gone), key, "left_anti").select(*rows.columns)
+    shared = rows.sparkSession.sparkContext.broadcast(sieve(gone.select(F.col(key).cast("long")).where(F.col(key).isNotNull()), count))
+
+    @F.arrow_udf("boolean")
+    def perhaps(keys: pa.Array) -> pa.Array:
+        return pa.array(shared.value.passes(keys.fill_null(0).to_numpy(zero_copy_only=False)), mask=keys.is_null().to_numpy(zero_copy_only=False))
+
+    met = F.coalesce(perhaps(F.col(key).cast("long")), F.lit(False))
+    doubtful = rows.where(met).join(gone, key, "left_anti").select(*rows.columns)
+    return rows.where(~met).unionByName(doubtful)
