@@ -242,11 +242,37 @@ def estimates(rows: DataFrame, scratch: Scratch, share: float = 0.75, steps: int
     return current
 
 
-def verdicts(docs: DataFrame, least: int = 200, tail: float = 1e-6, share: float = 0.75, steps: int = 5) -> DataFrame:
+def _shrunk(prior: float):
+    """Each group's estimate drawn towards its language's, and that towards the one of all, by their sizes."""
+    d = len(FLOORS)
+
+    def read(batch: pa.RecordBatch, level: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = batch.column(f"{level}_n").to_numpy().astype(float)
+        inverse = _matrix(batch.column(f"{level}_inverse"), d * d).reshape(-1, d, d)
+        return n / (n + prior), _matrix(batch.column(f"{level}_centre"), d), np.linalg.inv(inverse)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, centre, spread = read(batch, "all")
+            for level in ("lang", "own"):
+                weight, near, wide = read(batch, level)
+                centre = weight[:, None] * near + (1 - weight)[:, None] * centre
+                spread = weight[:, None, None] * wide + (1 - weight)[:, None, None] * spread
+            doubles = pa.list_(pa.float64())
+            arrays = [pa.array(list(centre), doubles), pa.array(list(np.linalg.inv(spread).reshape(-1, d * d)), doubles)]
+            yield pa.RecordBatch.from_arrays([batch.column("own"), *arrays], ["part", "centre", "inverse"])
+
+    return run
+
+
+def verdicts(docs: DataFrame, prior: float = 200, tail: float = 1e-6, share: float = 0.75, steps: int = 5) -> DataFrame:
     """doc_id, the counts, base_failed, distance and kept for every row of ``docs``.
 
-    Estimates are made per language and source of at least ``least`` passing texts. Smaller ones of
-    a language are estimated together, and languages still smaller in one last part. A text is
+    There is an estimate for every language and source, whatever its size, one for every language,
+    and one for all. A group of ``n`` passing texts counts ``n / (n + prior)`` against its language,
+    and a language as much against all, so a verdict changes smoothly as a source grows. A text is
     rejected beyond the ``1 - tail`` quantile of the chi-square distribution.
 
     A null text counts as empty: no words, base_failed, not kept. Null languages and sources are
@@ -256,18 +282,23 @@ def verdicts(docs: DataFrame, least: int = 200, tail: float = 1e-6, share: float
     """
     scratch = Scratch(docs.sparkSession, "quality")
     rows = scratch.put(counts(docs), "counts").withColumn("base_failed", base_failed())
-    name = lambda *columns: F.to_json(F.struct(*columns))
+    name = lambda *columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
     passing = rows.where(~F.col("base_failed"))
-    sizes = passing.groupBy("lang", "source").agg(F.count("*").alias("n")).withColumn("own", F.col("n") >= least)
-    pooled = sizes.where(~F.col("own")).groupBy("lang").agg(F.sum("n").alias("pool"))
-    parts = sizes.join(pooled.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    part = F.when(F.col("own"), name("lang", "source")).when(F.col("pool") >= least, name("lang")).otherwise("{}")
-    parts = parts.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), part.alias("part"))
-    same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    placed = scratch.put(
-        passing.join(parts, same).select("doc_id", *COUNTS[:5], "part", *vector()), "vectors"
-    )
-    fitted = estimates(placed.select("part", *AXES), scratch, share, steps)
+    own, lang = name("lang", "source").alias("own"), name("lang").alias("lang")
+    placed = scratch.put(passing.select("doc_id", *COUNTS[:5], own, lang, *vector()), "vectors")
+    levels = F.explode(F.array("own", "lang", F.lit("{}"))).alias("part")
+    fitted = scratch.put(estimates(placed.select(levels, *AXES), scratch, share, steps), "estimates")
+    groups = placed.groupBy("own", "lang").agg(F.count("*").alias("own_n"))
+    sizes = groups.groupBy("lang").agg(F.sum("own_n").alias("lang_n"))
+
+    def at(level: str) -> DataFrame:
+        return fitted.select(F.col("part").alias(level), F.col("centre").alias(f"{level}_centre"), F.col("inverse").alias(f"{level}_inverse"))
+
+    known = groups.join(sizes, "lang").join(at("own"), "own").join(at("lang"), "lang")
+    whole = at("all").where("all = '{}'").drop("all").withColumn("all_n", F.lit(0).cast("long"))
+    known = known.join(F.broadcast(whole))  # one row
+    shrunk = known.mapInArrow(_shrunk(prior), "part string, centre array<double>, inverse array<double>")
+    shrunk = scratch.put(shrunk, "shrunk")
     far = chi2_quantile(1 - tail, len(FLOORS))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +310,7 @@ def verdicts(docs: DataFrame, least: int = 200, tail: float = 1e-6, share: float
 
     fields = ["doc_id", *COUNTS[:5], "base_failed", "kept", "distance"]
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS[:5]) + ", base_failed boolean, kept boolean, distance double"
-    good = placed.join(fitted, "part").mapInArrow(judge, schema)
+    good = placed.withColumnRenamed("own", "part").drop("lang").join(shrunk, "part").mapInArrow(judge, schema)
     bad = rows.where("base_failed").select(
         "doc_id", *COUNTS[:5], "base_failed", F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance")
     )

@@ -60,8 +60,8 @@ def test_chi2_quantile():
     assert quality.chi2_quantile(0.5, 6) == pytest.approx(5.348121, abs=1e-5)
 
 
-def plain_estimate(x, share=0.75, steps=5):
-    """The concentration steps on one part in memory."""
+def plain_fit(x, share=0.75, steps=5):
+    """Centre and inverse spread of the concentration steps on one part, in memory."""
     d = x.shape[1]
     cells = np.floor(x * 256)
     centre, inverse = np.zeros(d), np.zeros((d, d))
@@ -77,6 +77,11 @@ def plain_estimate(x, share=0.75, steps=5):
         inside = x[bins <= np.sort(bins)[int(np.ceil(share * len(x))) - 1]]
         centre = inside.mean(axis=0)
         inverse = np.linalg.inv(factor * np.cov(inside.T, bias=True) + np.diag(np.square(quality.FLOORS)))
+    return centre, inverse
+
+
+def plain_estimate(x):
+    centre, inverse = plain_fit(x)
     away = x - centre
     return np.einsum("ni,ij,nj->n", away, inverse, away)
 
@@ -84,7 +89,7 @@ def plain_estimate(x, share=0.75, steps=5):
 def test_outliers_agree_with_plain_estimate(spark):
     rng = random.Random(2)
     texts = [sentence(rng, rng.randint(20, 200)) for _ in range(300)] + ["$$$ ###*** || " * 30 + sentence(rng, 40) for _ in range(30)]
-    found = quality.verdicts(documents(spark, texts), least=50).toPandas().sort_values("doc_id").reset_index(drop=True)
+    found = quality.verdicts(documents(spark, texts), prior=50).toPandas().sort_values("doc_id").reset_index(drop=True)
     rows = quality.counts(documents(spark, texts)).select("doc_id", *quality.vector()).toPandas().sort_values("doc_id")
     passing = ~found.base_failed.to_numpy()
     x = rows[list(quality.AXES)].to_numpy()[passing]
@@ -238,13 +243,19 @@ def test_automaton_gives_matching_statistics():
         want = plain_statistics(words, sequences)
         peaks = [(at + 1, n) for at, n in enumerate(want) if n and (at + 1 == len(want) or want[at + 1] != n + 1)]
         automaton = licences.Automaton(sequences)
-        got = automaton.stream(words)
+        got, every = automaton.stream(words, 2)
         assert [(end, n) for end, n, _ in got] == peaks
+        assert [(end, n) for end, n, _ in every] == [(at + 1, n) for at, n in enumerate(want) if n >= 2]
+        own = automaton.own_matches(every, 2)
+        for number, sequence in enumerate(sequences):  # what the template has by itself, whatever the others hold
+            alone = plain_statistics(words, [sequence])
+            mine = [(at + 1, n) for at, n in enumerate(alone) if n >= 2 and (at + 1 == len(alone) or alone[at + 1] != n + 1)]
+            assert [m[:2] for m in own.get(number, [])] == mine
         for end, n, state in got:
             run = words[end - n : end]
             for number, sequence in enumerate(sequences):
                 ends = [j for j in range(n, len(sequence) + 1) if sequence[j - n : j] == run]
-                assert automaton.ends[state].get(number) == (min(ends) if ends else None)
+                assert automaton.ends[state].get(number, []) == ends
 
 
 def test_base_phrases_agree_with_plain_search():
@@ -265,6 +276,25 @@ def test_base_phrases_agree_with_plain_search():
         assert 0 <= score <= 1
 
 
+def test_every_notice_has_its_span():
+    rng = random.Random(7)
+    scanner = licences.Scanner(licences.TEMPLATES, licences.BASE, 4, 0.7, 12)
+    for label in licences.TEMPLATES:
+        size = len(licences.tokenize(licences.TEMPLATES[label][0]))
+        parts, want, at = [], [], 0
+        for k in range(6):
+            filler = [f"filler{rng.randrange(1000)}" for _ in range(rng.choice([0, 3, 40]) if k else 5)]
+            parts += filler + [licences.TEMPLATES[label][0]]
+            want.append((label, at + len(filler), at + len(filler) + size, 1.0))
+            at += len(filler) + size
+        *_, labels, score, spans = scanner.scan(" ".join(parts))
+        assert spans == want and score == 1.0 and label in labels.split(",")
+    # one sentence of a notice that stands in it twice still belongs to the second place
+    body = licences.TEMPLATES["bsd"][0].split()
+    half = " ".join(body[len(body) // 2 :] + ["unrelated"] * 30 + body)
+    assert [s[0] for s in scanner.scan(half)[7]] == ["bsd"]
+
+
 def test_licences_are_found_in_changed_texts(spark):
     body = licences.TEMPLATES["mit"][0]
     changed = body.replace("free of charge", "at no cost").replace("merge, ", "")

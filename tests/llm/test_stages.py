@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from daftar.llm import bpe, decontaminate, nearcopies, secrets
+from daftar.llm import bpe, decontaminate, nearcopies, quality, secrets
 from daftar.llm.sieve import without
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _doc string, _secrets int, leads string, again int"
@@ -118,3 +118,51 @@ def test_codec_remembers_what_is_met_often(monkeypatch):
     assert bpe.worker_codec("one", None) is first
     assert bpe.worker_codec("two", _Given((ranks, pairs, merged))) is not first and list(bpe._kept) == ["two"]
     assert isinstance(first.words, dict) and not first.words and np.array_equal(first.single[:3], [0, 1, 2])
+
+
+def plain_groups(spark, docs, prior):
+    """Every row's distance from its group's shrunken estimate, in memory."""
+    from tests.llm.test_small import plain_fit
+
+    rows = quality.counts(docs).select("doc_id", "lang", "source", *quality.vector()).toPandas()
+    axes = list(quality.AXES)
+    fit = lambda some: plain_fit(some[axes].to_numpy())
+    out = {}
+    centre_all, inverse_all = fit(rows)
+    for lang in {None, *rows.lang.dropna()}:
+        in_lang = rows[rows.lang.isna() if lang is None else rows.lang == lang]
+        for source in {None, *in_lang.source.dropna()}:
+            own = in_lang[in_lang.source.isna() if source is None else in_lang.source == source]
+            if own.empty:
+                continue
+            centre, spread = centre_all, np.linalg.inv(inverse_all)
+            for some in (in_lang, own):
+                w = len(some) / (len(some) + prior)
+                near, inverse = fit(some)
+                centre, spread = w * near + (1 - w) * centre, w * np.linalg.inv(inverse) + (1 - w) * spread
+            away = own[axes].to_numpy() - centre
+            out |= dict(zip(own.doc_id, np.einsum("ni,ij,nj->n", away, np.linalg.inv(spread), away)))
+    return out
+
+
+def test_small_groups_lean_on_their_language(spark):
+    rng = random.Random(12)
+    rows = []
+    for lang, source, n in (("en", "big", 120), ("en", "tiny", 3), ("fr", "only", 15), (None, None, 6), (None, "x", 4), ("en", None, 7)):
+        rows += [(len(rows) + i, " ".join(words(rng, 1) + rng.choice(["", ",", "."]) for _ in range(rng.randint(25, 90))), lang, source) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r for r in quality.verdicts(docs, prior=20).collect()}
+    assert not any(r.base_failed for r in found.values())
+    want = plain_groups(spark, docs, 20)
+    assert np.allclose([found[k].distance for k in sorted(want)], [want[k] for k in sorted(want)], rtol=1e-4, atol=1e-4)
+
+
+def test_a_group_that_grows_past_the_prior_keeps_its_verdicts(spark):
+    """A source of 199 texts and the same source with two more are judged alike."""
+    rng = random.Random(13)
+    body = [(i, " ".join(words(rng, 1) for _ in range(rng.randint(25, 60))), "en", "main") for i in range(400)]
+    own = [(1000 + i, " ".join(words(rng, 1) + "," for _ in range(rng.randint(25, 60))), "en", "own") for i in range(201)]
+    shape = "doc_id long, text string, lang string, source string"
+    few = {r.doc_id: r.distance for r in quality.verdicts(spark.createDataFrame(body + own[:199], shape)).collect()}
+    more = {r.doc_id: r.distance for r in quality.verdicts(spark.createDataFrame(body + own, shape)).collect()}
+    assert all(abs(few[k] - more[k]) <= 0.15 * few[k] + 0.3 for k in few)
