@@ -11,6 +11,7 @@ Texts are only scanned where they stand: the job has no shuffle.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,23 +31,23 @@ def tokenize(text: str | None) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton over word numbers, with the templates each state stands in.
 
-    ``ends[state]`` maps each template that holds the state's word runs to one end position of them
-    there (words counted from 1), the first.
+    ``ends[state]`` maps each template that holds the state's word runs to all end positions of them
+    there (words counted from 1), in order. Templates are a bounded list, and so are these.
     """
 
     def __init__(self, sequences: list[list[int]]) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, list[int]]] = [{}]
         for number, sequence in enumerate(sequences):
             last = 0
             for place, word in enumerate(sequence, 1):
                 last = self._extend(last, word)
-                self.ends[last].setdefault(number, place)
+                self.ends[last].setdefault(number, []).append(place)
         for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
             parent = self.ends[self.link[state]]
-            for number, place in self.ends[state].items():
-                parent[number] = min(place, parent.get(number, place))
+            for number, places in self.ends[state].items():
+                parent[number] = sorted({*places, *parent.get(number, ())})
         self.ends[0] = {}
 
     def _state(self, length: int, edges: dict[int, int], link: int) -> int:
@@ -80,9 +81,10 @@ class Automaton:
             self.link[new] = self._split(state, word)
         return new
 
-    def stream(self, words: list[int]) -> list[tuple[int, int, int]]:
-        """(end, length, state) of each maximal match: where the matching statistic cannot grow on. Ends are exclusive."""
-        out = []
+    def stream(self, words: list[int], least: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        """(end, length, state) of each maximal match, where the matching statistic cannot grow on, and of each
+        place where it is ``least`` or more. Ends are exclusive."""
+        out, every = [], []
         state = length = 0
         edges, link, sizes = self.next, self.link, self.length
         for at, word in enumerate(words):
@@ -102,9 +104,35 @@ class Automaton:
                 if target is None:
                     continue
             state, length = target, length + 1
+            if length >= least:
+                every.append((at + 1, length, state))
         if length:
             out.append((len(words), length, state))
-        return out
+        return out, every
+
+    def own_matches(self, every: list[tuple[int, int, int]], least: int) -> dict[int, list[tuple[int, int, list[int]]]]:
+        """(end, length, places) of each template's own maximal matches of ``least`` words or more.
+
+        A template need not hold all of a run that goes on in another one: the longest part of it that
+        ends at a place and stands in the template is found up the suffix links.
+        """
+        found: dict[int, list[tuple[int, int, list[int]]]] = {}
+        current: dict[int, tuple[int, int, list[int]]] = {}
+        for end, length, state in every:
+            seen: dict[int, tuple[int, list[int]]] = {}
+            while length >= least:
+                for number, places in self.ends[state].items():
+                    seen.setdefault(number, (length, places))
+                state = self.link[state]
+                length = self.length[state]
+            for number, (size, places) in seen.items():
+                last = current.get(number)
+                if last and last[:2] != (end - 1, size - 1):
+                    found.setdefault(number, []).append(last)
+                current[number] = (end, size, places)
+        for number, last in current.items():
+            found.setdefault(number, []).append(last)
+        return found
 
 
 class Scanner:
@@ -117,6 +145,7 @@ class Scanner:
             for text in texts:
                 self.labels.append(label)
                 sequences.append([self.number.setdefault(w, len(self.number)) for w in tokenize(text)])
+        self.templates = len(sequences)
         self.phrases = []
         for label, phrase in base.items():
             row = [self.number.setdefault(w, len(self.number)) for w in tokenize(phrase)]
@@ -141,34 +170,41 @@ class Scanner:
                         found.add((end - length + at, label))
         return sorted(found)
 
-    def spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """(template, start, end, covered words): the best chain of each template's matches.
+    def spans(self, every: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """(template, start, end, covered words): the chains of each template's matches that cover enough of it.
 
-        Matches shorter than ``least`` words only count if they are a whole template. A chain goes
-        forward in text and template and skips at most ``gap`` words in the text between matches.
+        A chain goes forward in text and template and skips at most ``gap`` words in the text between
+        matches. Of chains that overlap in the text, of whichever templates, the one that covers most of
+        its template stands, then the longest, then the earliest; a text with many notices has a span
+        for each, and a notice that resembles others is one label.
         """
-        per: dict[int, list[tuple[int, int, int]]] = {}
-        for end, length, state in matches:
-            for number, place in self.automaton.ends[state].items():
-                if length >= min(self.least, self.sizes[number]):
-                    per.setdefault(number, []).append((end, place, length))
-        out = []
-        for number, parts in per.items():
-            best, value = None, 0
-            open_chains: list[tuple[int, int, int, int]] = []  # text end, template end, start, covered
-            for end, place, length in parts:
+        rivals = []
+        for number, parts in self.automaton.own_matches(every, self.least).items():
+            if number >= self.templates:
+                continue
+            chains: list[tuple[int, int, int, int]] = []  # text end, template end, start, covered
+            open_chains: list[tuple[int, int, int, int]] = []
+            for end, length, places in parts:
                 start = end - length
                 open_chains = [c for c in open_chains if start - c[0] <= self.gap]
-                chain = (end, place, start, length)
-                for c in open_chains:
-                    fresh = min(length, place - c[1], end - c[0])
-                    if fresh > 0 and c[3] + fresh > chain[3]:
-                        chain = (end, place, c[2], c[3] + fresh)
+                fresh_chains = []
+                for place in places:
+                    chain = (end, place, start, length)
+                    for c in open_chains:
+                        fresh = min(length, place - c[1], end - c[0])
+                        if fresh > 0 and c[3] + fresh > chain[3]:
+                            chain = (end, place, c[2], c[3] + fresh)
+                    fresh_chains.append(chain)
                 # One open chain per template place is enough: the fullest.
-                open_chains = [c for c in open_chains if c[1] != place or c[3] > chain[3]] + [chain]
-                if chain[3] > value:
-                    best, value = chain, chain[3]
-            out.append((number, best[2], best[0], value))
+                open_chains = [c for c in open_chains if not any(f[1] == c[1] and f[3] >= c[3] for f in fresh_chains)] + fresh_chains
+                chains += [c for c in fresh_chains if c[3] >= self.cover * self.sizes[number]]
+            rivals += [(min(1.0, covered / self.sizes[number]), covered, start, end, number) for end, _, start, covered in chains]
+        out, taken = [], []
+        for _, covered, start, end, number in sorted(rivals, key=lambda c: (-c[0], -c[1], *c[2:])):
+            at = bisect_left(taken, (start, end))
+            if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
+                taken.insert(at, (start, end))
+                out.append((number, start, end, covered))
         return out
 
     def scan(self, text: str | None) -> tuple:
@@ -176,16 +212,16 @@ class Scanner:
         words = tokenize(text)
         get = self.number.get
         numbers = [get(w, -1) for w in words]
-        matches = [m for m in self.automaton.stream(numbers) if m[1] >= 2]
+        matches, every = self.automaton.stream(numbers, self.least)
+        matches = [m for m in matches if m[1] >= 2]
         places = self.base_places(numbers, matches)
         base = {label for _, label in places}
         labels, score, spans = set(base), 1.0 if base else 0.0, []
-        for number, start, end, covered in self.spans(matches):
+        for number, start, end, covered in self.spans(every):
             share = min(1.0, covered / self.sizes[number])
-            if number < len(self.labels) - len(self.phrases) and share >= self.cover:
-                labels.add(self.labels[number])
-                spans.append((self.labels[number], start, end, share))
-                score = max(score, share)
+            labels.add(self.labels[number])
+            spans.append((self.labels[number], start, end, share))
+            score = max(score, share)
         starts = [at for at, _ in places]
         return (
             len(words), len(places), min(starts, default=None), max(starts, default=None),
@@ -199,9 +235,10 @@ def scan(
 ) -> DataFrame:
     """Licence labels of every whole text, with the spans they rest on.
 
-    ``labels`` has the base labels and those of templates of which one chain of matches covers the
-    share ``cover``. ``score`` is the largest covered share, 1 for a base phrase, 0 without a label.
-    ``spans`` has (label, start, end, share), words counted from 0 and ends exclusive.
+    ``labels`` has the base labels and those of templates of which a chain of matches, each of
+    ``least`` words or more, covers the share ``cover``. ``score`` is the largest covered share, 1 for a
+    base phrase, 0 without a label. ``spans`` has (label, start, end, share) of every such chain that
+    no fuller one overlaps, words counted from 0 and ends exclusive.
 
     A null or empty text has no words and no labels; repeated rows get the same result, ties between
     chains go to the earlier one. An empty table gives an empty result; further columns are not read.
