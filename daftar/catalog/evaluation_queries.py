@@ -175,7 +175,29 @@ def _(t):
     return M.compare_to_baseline(cells.where("model = 'e5'"), cells.where("model = 'bge'"), ["split"], "mrr", 2.0)
 
 
-@query("gate")
+_BASE = _MEASURES.format(hits="lex").replace("ranked", "ranked_before").replace("measured", "measured_before")
+_MEANS = ", ".join(f'avg("{m}") AS "{m}"' for m in M.METRICS)
+_NAMES = ", ".join(f"'{m}'" for m in M.METRICS)
+_ROUNDED = ", ".join(f'round("{m}", 4)' for m in M.METRICS)
+
+
+def _sql_long(measured: str) -> str:
+    levels = f"""SELECT 'all' AS level, '' AS value, count(*) AS n, {_MEANS} FROM {measured}
+        UNION ALL SELECT 'source_doc', source_doc, count(*), {_MEANS} FROM {measured} GROUP BY source_doc"""
+    return f"""SELECT * FROM (SELECT level, value, unnest([{_NAMES}, 'n']) AS metric, unnest([{_ROUNDED}, n::DOUBLE]) AS v FROM ({levels}) l) u
+        WHERE level = 'all' OR metric = 'recall@10'"""
+
+
+@query(
+    "gate",
+    _MEASURES.format(hits="lexidf") + _BASE + f"""
+    SELECT level, value, metric, round(a.v, 6) AS current, round(b.v, 6) AS baseline, round((a.v - b.v) * 100, 6) AS change_points,
+      CASE WHEN metric = 'n' THEN CASE WHEN a.v = b.v THEN 'same pairs' ELSE 'warning: other pairs' END
+           WHEN metric <> 'recall@10' THEN 'context' WHEN a.v IS NULL THEN 'fail: missing now' WHEN b.v IS NULL THEN 'new'
+           WHEN (b.v - a.v) * 100 <= CASE level WHEN 'all' THEN 2 ELSE 5 END + 1e-9 THEN 'pass' ELSE 'fail' END AS verdict
+    FROM ({_sql_long('measured')}) a FULL JOIN ({_sql_long('measured_before')}) b USING (level, value, metric)""",
+    ("pairs", "lex", "lexidf"),
+)
 def _(t):
     # current: the weighted rank; baseline: the plain one
     checked = M.gate(M.aggregate(_measured(t, idf=True)), M.aggregate(_measured(t)))
@@ -188,12 +210,105 @@ def _(t):
     return t.events.groupBy(F.col("event_type").alias("config"), key).agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- the matrix over measured lists: a question's vector is that of the document that answers it, else its item's ---
+
+
+_DIMS = {"e5": 64, "bge": 32}  # two models: the given vectors, and their first half
+
+
+def _dense_lists(t):
+    """One list of each model for every question, searched once and stored."""
+    from daftar.operators.dense import dense_search
+
+    answered = t.pairs.select("query_id", F.regexp_extract("source_doc", r"^doc-(\d+)$", 1).alias("n"), F.substr("query_id", F.lit(2)).alias("item"))
+    keyed = answered.select("query_id", F.when(F.col("n") != "", F.col("n")).otherwise(F.col("item")).alias("id"))
+    out = {}
+    for model, dim in _DIMS.items():
+        part = t.vectors.select("id", F.slice("embedding", 1, dim).alias("vector"))
+        corpus = part.select(F.concat(F.lit("doc-"), "id", F.lit(":p:0")).alias("id"), F.col("vector").alias("embedding"))
+        found = dense_search(corpus, keyed.join(part, "id").select("query_id", "vector"), dim=dim)
+        out[model] = t.stored(found.select("query_id", "chunk_id", "score", "rank", "source"), f"dense-{model}")
+    return out
+
+
+def _lexical_list(t):
+    found = L.lexical_search(t.index, t.queries)
+    return t.stored(found.select("query_id", "chunk_id", "score", "rank", "source"), "lexical")
+
+
+def _sql_lists() -> tuple[str, dict[tuple[str, str], str]]:
+    """CTEs of every list, and the name of each by model and config."""
+    from daftar.catalog.retrieval_queries import _RRF
+
+    names, parts = {("-", "lexical"): "lex"}, []
+    parts.append("""vid AS (SELECT query_id, CASE WHEN regexp_matches(source_doc, '^doc-[0-9]+$') THEN CAST(substr(source_doc, 5) AS BIGINT)
+        ELSE CAST(substr(query_id, 2) AS BIGINT) END AS vec_id FROM pairs)""")
+    for model, dim in _DIMS.items():
+        cut = lambda v, dim=dim: f"list_transform({v}.embedding[1:{dim}], lambda x: x::DOUBLE)"
+        parts.append(f"""dense_{model} AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+            SELECT query_id, 'doc-' || c.vec_id || ':p:0' AS chunk_id, round(list_cosine_similarity({cut('v')}, {cut('c')}), 12) AS score
+            FROM vid JOIN embeddings v USING (vec_id) CROSS JOIN embeddings c) a) b WHERE rank <= 20)""")
+        both = f"(SELECT *, 0 AS list_id FROM dense_{model} UNION ALL SELECT query_id, chunk_id, score, rank, 1 FROM lex)"
+        parts.append(f"hybrid_{model} AS (SELECT * FROM ({_RRF.format(lists=both)}) h WHERE rank <= 20)")
+        parts.append(f"""rerank_{model} AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, incoming) AS rank FROM (
+            SELECT query_id, chunk_id, incoming, CASE WHEN x >= 0 THEN 1 / (1 + exp(-x)) ELSE exp(x) / (1 + exp(x)) END AS score FROM (
+              SELECT query_id, chunk_id, incoming, len(list_intersect(a, b)) - len(a) / 2.0 AS x FROM (
+                SELECT h.query_id, chunk_id, h.rank AS incoming, list_distinct({sql_tokens('lower(' + sql_norm('question') + ')')}) AS a,
+                  list_distinct({sql_tokens('lower(' + sql_norm('text') + ')')}) AS b FROM hybrid_{model} h JOIN q USING (query_id) JOIN chunks ON chunks.id = chunk_id) s) o) y)""")
+        names |= {(model, "dense"): f"dense_{model}", (model, "hybrid"): f"hybrid_{model}", (model, "hybrid+rerank"): f"rerank_{model}"}
+    return ", " + ",\n".join(parts), names
+
+
+_LISTS, _LIST_NAMES = _sql_lists()
+_PAIR_SPLITS = _SPLITS.replace("FROM labelled", "FROM pairs").replace(
+    "source_chunk_ids[1] IN (SELECT source_chunk_ids[1]", "list_sort(source_chunk_ids) IN (SELECT list_sort(source_chunk_ids)"
+)
+
+
+def _sql_measured() -> str:
+    out = []
+    for (model, config), hits in _LIST_NAMES.items():
+        out.append(_MEASURES.format(hits=hits).replace("ranked", f"ranked_{hits}").replace("measured", f"measured_{hits}"))
+    union = " UNION ALL ".join(f"SELECT '{m}' AS model, '{c}' AS config, * FROM measured_{hits}" for (m, c), hits in _LIST_NAMES.items())
+    return "".join(out) + f", every AS ({union})"
+
+
+@query(
+    "full_matrix",
+    _LISTS + _sql_measured() + _PAIR_SPLITS + f"""SELECT model, config, split, n, n_pairs, {_ALL} FROM (
+        SELECT model, config, split, count(*) AS n, {_MEANS} FROM every JOIN member USING (query_id) GROUP BY model, config, split) c
+        JOIN (SELECT split, count(*) AS n_pairs FROM member GROUP BY split) f USING (split)""",
+    ("q", "chunks", "pairs", "qrels", "lex"),
+)
+def _(t):
+    from daftar.plans import matrix as X
+
+    measured = X.measured_matrix(_lexical_list(t), _dense_lists(t), t.chunks, t.pairs, t.qrels)
+    return M.matrix(measured, M.split_membership(t.pairs))
+
+
+@query(
+    "refusal_matrix",
+    _LISTS + " UNION ALL ".join(
+        f"""SELECT '{m}' AS model, '{c}' AS config, count(*) AS n, count(score) AS with_hits, round(coalesce(avg(score), 0), 6) AS top_score_mean,
+        round(coalesce(max(score), 0), 6) AS top_score_max FROM pairs LEFT JOIN (SELECT query_id, score FROM {hits} WHERE rank = 1) t USING (query_id) WHERE len(source_chunk_ids) = 0"""
+        for (m, c), hits in _LIST_NAMES.items()
+    ),
+    ("q", "chunks", "pairs", "lex"),
+)
+def _(t):
+    from daftar.plans import matrix as X
+
+    return X.refusal_table(_lexical_list(t), _dense_lists(t), t.chunks, t.pairs, t.qrels)
+
+
 @query(
     "planner_arms",
 )
 def _(t):
     from daftar import settings as S
     from daftar.catalog.retrieval_queries import CLAUSES, LATIN
+    from daftar.operators import fusion as X
     from daftar.plans import retrieval as R
 
     config = S.RetrievalConfig.named("lexical")
@@ -203,9 +318,13 @@ def _(t):
             "decomposed": P.plan_rules(t.queries, LATIN, CLAUSES, decompose_enabled=True)}
     out = None
     for name, plans in arms.items():
-        measured = M.per_query(_pairs(t), R.retrieve(plans, config, index=t.index), t.qrels)
-        line = M.summarise(measured).withColumn("arm", F.lit(name))
-        out = line if out is None else out.unionByName(line)
+        lists = R.ranked_lists(plans, config, index=t.index)
+        asked = plans.select("query_id", F.size("search_queries").alias("n_lists"))
+        for depth in (10, 20):
+            # The shallower arm is the first ranks of the same lists, fused anew.
+            hits = X.fuse_plan(lists.where(F.col("rank") <= depth), limit=depth, keys=asked)
+            line = M.summarise(M.per_query(_pairs(t), hits, t.qrels)).withColumns({"arm": F.lit(name), "depth": F.lit(depth)})
+            out = line if out is None else out.unionByName(line)
     return out
 
 

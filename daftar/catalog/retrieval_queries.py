@@ -60,13 +60,23 @@ def _(t):
     return _turns(t).select("query_id", P.rewrite("question", LATIN).alias("rewritten"))
 
 
-@query("lexicon_audit")
+_WORDS = "VALUES ('the', 'replacement'), ('and', 'replacement'), ('que', 'replacement'), ('for', 'replacement'), ('the', 'marker'), ('que', 'marker'), ('zzz', 'unused')"
+
+
+@query(
+    "lexicon_audit",
+    f"""SELECT category, key, coalesce(n, 0) AS used, coalesce(turns, 0) AS turns FROM ({_WORDS}) w(key, category) LEFT JOIN (
+        SELECT key, count(*) AS n, count(DISTINCT (conv_id, turn)) AS turns FROM (
+          SELECT conv_id, turn, unnest({sql_tokens(sql_norm('trim(text)'))}) AS key FROM conversations) u GROUP BY key) k USING (key)""",
+)
 def _(t):
-    # the shipped lexicon, and how often its tokens occur in the given conversations
-    words = _turns(t).select(F.explode_outer(T.tokens(T.normalize_query("question"))).alias("key"))
-    used = words.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    lexicon = P.lexicon_table(t.spark).join(used, "key", "left")
-    return lexicon.groupBy("category").agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("n"), F.lit(0)).alias("used"))
+    """How often the words that plans rewrite occur in the given conversations, and in how many turns."""
+    rows = [(k, "replacement") for k in LATIN.replacements] + [(k, "marker") for k in LATIN.markers] + [("zzz", "unused")]
+    lexicon = t.spark.createDataFrame(rows, "key string, category string")
+    words = _turns(t).select("query_id", F.explode(T.tokens(T.normalize_query("question"))).alias("key"))
+    used = words.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("query_id").alias("turns"))
+    found = F.broadcast(lexicon).join(used, "key", "left")
+    return found.select("category", "key", F.coalesce("n", F.lit(0)).alias("used"), F.coalesce("turns", F.lit(0)).alias("turns"))
 
 
 _LEXICON = """SELECT CASE WHEN user_id % 5 = 0 THEN '  ' ELSE '' END || 'k' || (user_id % 50) AS key,
@@ -548,9 +558,63 @@ def _(t):
     return D.dense_search(chunks, asked.select("query_id", F.col("embedding").alias("vector"))).select(*HITS)
 
 
-@query("ask_batch")
+def _sql_ask(fused: str, cached: str = "false", rerank: str = "") -> str:
+    """Context, gate and prompts over the fused lists of a plan, as the batch pipeline has them."""
+    score, order = ("score", "incoming") if not rerank else (rerank, f"{rerank} DESC, incoming")
+    return f"""
+    , loaded AS (SELECT f.query_id, chunk_id, rank AS incoming, score, text, CASE WHEN register = 'gulf' THEN r ELSE p.question END AS asked
+        FROM {fused} f JOIN planned p USING (query_id) JOIN chunks ON chunks.id = chunk_id),
+    sets AS (SELECT *, list_distinct({sql_tokens('lower(' + sql_norm('asked') + ')')}) AS a, list_distinct({sql_tokens('lower(' + sql_norm('text') + ')')}) AS b FROM loaded),
+    marked AS (SELECT *, len(list_intersect(a, b)) - len(a) / 2.0 AS x FROM sets),
+    ctx AS (SELECT * FROM (SELECT query_id, chunk_id, text, {score} AS score, {'row_number() OVER (PARTITION BY query_id ORDER BY ' + order + ')' if rerank else 'incoming'} AS rank FROM marked) c WHERE rank <= 5),
+    cut AS (SELECT * FROM (SELECT *, sum((length('[' || chunk_id || ']' || chr(10) || text) + 2) // 3) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM ctx) u WHERE used <= 1500 - 512),
+    blocks AS (SELECT query_id, string_agg('[' || chunk_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS blocks FROM cut GROUP BY query_id),
+    done AS (SELECT p.query_id, register, {cached} AS hit, top IS NULL OR {'top < 0.9' if rerank else 'false'} AS refused,
+        length('{S.CONTEXT_HEADER}' || chr(10) || chr(10) || coalesce(blocks, '{S.NO_CONTEXT}') || chr(10) || chr(10) || '{S.QUESTION_HEADER} ' || question) AS n
+      FROM planned p LEFT JOIN blocks USING (query_id) LEFT JOIN (SELECT query_id, score AS top FROM ctx WHERE rank = 1) t USING (query_id))
+    SELECT query_id, register, CASE WHEN hit THEN 'hit' WHEN refused THEN 'refused' ELSE 'to_generate' END AS status, CASE WHEN NOT hit AND NOT refused THEN n END AS prompt_chars FROM done"""
+
+
+@query("ask_batch", _PLANS + _sql_ask("fused"), ("q", "post", "chunks"))
+def _(t):
+    done = R.ask(t.queries, t.chunks, S.RetrievalConfig.named("lexical"), max_tokens=1500, dialect=LATIN, index=t.index)
+    return done.select("query_id", "register", "status", F.length("prompt").alias("prompt_chars"))
+
+
+_LEGS = f"""
+    , dlists AS (SELECT query_id, s.list_id, d.chunk_id, d.score, d.rank FROM searches s JOIN ({_ITEM_DENSE}) d USING (query_id)),
+    hlists AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, list_id ORDER BY score DESC, chunk_id) AS rank FROM (
+        SELECT query_id, list_id, chunk_id, list_sum(list(1.0::DOUBLE / (60 + rank) ORDER BY leg)) AS score FROM (
+          SELECT *, 0 AS leg FROM dlists UNION ALL SELECT *, 1 FROM slists) l GROUP BY query_id, list_id, chunk_id) a) b WHERE rank <= 20),
+    hfused AS (SELECT query_id, chunk_id, score, rank FROM hlists JOIN several USING (query_id) WHERE last = 0
+        UNION ALL SELECT * FROM ({_RRF.format(lists='(SELECT h.* FROM hlists h JOIN several USING (query_id) WHERE last > 0)')}) f WHERE rank <= 20)
+"""
+_SIGMOID = "(CASE WHEN x >= 0 THEN 1 / (1 + exp(-x)) ELSE exp(x) / (1 + exp(x)) END)"
+
+
+def _hybrid_parts(t):
+    """The corpus with vectors, and the vector of every search string: that of its item."""
+    corpus = t.vectors.select(F.concat(F.lit("doc-"), "id", F.lit(":p:0")).alias("id"), F.col("embedding").alias(S.EMBEDDING_COLUMNS["e5"]))
+    plans = P.plan_rules(t.queries, LATIN)
+    strings = plans.select("query_id", F.explode("search_queries").alias("question"))
+    vectors = t.vectors.select(F.concat(F.lit("q"), "id").alias("query_id"), F.col("embedding").alias("vector"))
+    return corpus, strings.join(vectors, "query_id").groupBy("question").agg(F.min_by("vector", "query_id").alias("vector"))
+
+
+@query(
+    "ask_hybrid_rerank",
+    _PLANS + _LEGS + _sql_ask("hfused", "CAST(substr(query_id, 2) AS BIGINT) % 7 = 0", _SIGMOID),
+    ("q", "post", "chunks"),
+)
 def _(t):
-    done = R.ask(t.queries, t.chunks, S.RetrievalConfig.named("lexical"), max_tokens=1500, dialect=LATIN)
+    """The full plan: rewrites, both legs fused, reranked, gated, cached answers served."""
+    corpus, vectors = _hybrid_parts(t)
+    cached = t.queries.where(F.substr("query_id", F.lit(2)).cast("long") % 7 == 0).select("query_id", F.lit("stored").alias("answer"))
+    config = S.RetrievalConfig.named("hybrid+rerank", model_key="e5")
+    done = R.ask(
+        t.queries, t.chunks, config, max_tokens=1500, floor=0.9, dialect=LATIN, index=t.index, corpus=corpus, vectors=vectors,
+        cached=cached, system="Answer from the context only.", dim=64,
+    )
     return done.select("query_id", "register", "status", F.length("prompt").alias("prompt_chars"))
 
 

@@ -44,8 +44,8 @@ def split_articles(text, heading: str = ARABIC_HEADING) -> Column:
     ``heading`` must capture the article number in group 1. Headings start their line; a heading
     with nothing under it yields no section.
     """
-    # Decoration before a heading stays with what precedes it, however long it is. The mark is a
-    # code point that Unicode keeps for internal use; one that stands in the text is no heading.
+    # Decoration before a heading stays with what precedes it, however long it is. A cut is the mark
+    # and a one; marks of the text itself are a mark and a zero until the cutting is done.
     starts = rf"(?md)^([{_DECOR}]*+)(?={heading})"
     at_head = rf"(?d)\A(?:{heading})"
 
@@ -57,7 +57,10 @@ def split_articles(text, heading: str = ARABIC_HEADING) -> Column:
         return ~T.is_blank(F.regexp_replace(part, at_head, ""))
 
     text = T._col(text)
-    headed = F.transform(F.filter(F.split(F.regexp_replace(F.translate(text, _MARK, ""), starts, f"$1{_MARK}"), _MARK), kept), section)
+    own, cut = F.lit(_MARK + "0"), _MARK + "1"
+    parts = F.split(F.regexp_replace(F.replace(text, F.lit(_MARK), own), starts, f"$1{cut}"), cut)
+    parts = F.transform(parts, lambda part: F.replace(part, own, F.lit(_MARK)))
+    headed = F.transform(F.filter(parts, kept), section)
     whole = F.array(F.struct(F.lit(None).cast("string").alias("article"), text.alias("body")))
     # Most documents have no heading; one anchored scan spares them the splitting.
     return F.when(text.rlike(f"(?md)^(?:{heading})"), headed).otherwise(whole)

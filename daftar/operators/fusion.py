@@ -49,11 +49,22 @@ def fuse_plan(lists: DataFrame, k: int = S.RRF_K, limit: int = S.RETRIEVE_DEPTH,
 
     ``keys`` is (query_id, n_lists): the lists a plan asked for, found or not.
     """
+    check_limit(limit)
     counted = lists.join(keys, "query_id")
-    single = counted.where(F.col("n_lists") == 1).where(F.col("rank") <= limit)
-    single = single.select("query_id", "chunk_id", "score", F.col("rank").cast("int").alias("rank"), "source")
-    several = rrf_fuse(counted.where(F.col("n_lists") > 1), k, limit)
-    return single.unionByName(several.select(*single.columns))
+    alone = F.col("n_lists") == 1
+    # One pass over the lists: a plan that reads them twice searches twice.
+    places = F.array_sort(F.collect_list(F.struct("list_id", "rank")))
+    own = F.min_by(F.struct("score", "source"), F.struct("rank", "list_id"))
+    fused = counted.groupBy("query_id", "chunk_id").agg(
+        F.min("n_lists").alias("n_lists"), places.alias("_places"), own.alias("_own"), F.min("rank").alias("_first")
+    )
+    total = F.aggregate("_places", F.lit(0.0), lambda score, p: score + F.lit(1.0) / (p.rank + k))
+    scored = fused.select(
+        "query_id", "chunk_id", F.when(alone, F.col("_own.score")).otherwise(total).alias("score"),
+        F.when(alone, F.col("_own.source")).otherwise("rrf").alias("source"), F.when(alone, F.col("_first")).alias("_first"),
+    )
+    order = [F.col("_first"), F.col("score").desc(), F.col("chunk_id")]
+    return top_k(scored, ["query_id"], order, limit).select("query_id", "chunk_id", "score", "rank", "source")
 
 
 Scorer = Callable[[Column, Column], Column]

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from daftar import settings as S
 from daftar.operators.ordered import nearest_rank
@@ -157,26 +158,37 @@ def spend_by_model(samples: DataFrame) -> DataFrame:
 # --- counters -------------------------------------------------------------------------------------
 
 
-def counter_increases(samples: DataFrame, series: Sequence[str], bucket: str = "1 hour") -> DataFrame:
+def _step(value: str, before: str, window: WindowSpec) -> Column:
+    """What a cumulative counter gained since the row before; all of it where it fell, NULL at the start."""
+    gained = F.col(value) - F.lag(before).over(window)
+    return F.when(gained < 0, F.col(value)).otherwise(gained)
+
+
+def counter_increases(samples: DataFrame, series: Sequence[str], bucket: str = "1 hour", slices: int = 256) -> DataFrame:
     """Increase of each cumulative series per time bucket: (series, bucket, increase).
 
     A drop means the counter restarted, so the new value is the increase; the first sample of a
-    series has none. Each bucket first keeps only its own increase and its edge samples, so the
-    step across buckets sees one row per bucket however hot the series is.
+    series has none. The carry goes up in levels: samples within one of a bucket's ``slices``, slices
+    within the bucket, buckets within the series. Each level keeps its own increase and its edge
+    samples only, so no task orders more than a slice of a hot bucket or a bucket's row per slice.
     """
-    slot = F.window(F.col("ts").cast("timestamp"), bucket).start.alias("bucket")
-    placed = samples.select(*series, slot, "ts", "value")
-    inner = Window.partitionBy(*series, "bucket").orderBy("ts", "value")
-    step = F.col("value") - F.lag("value").over(inner)
-    stepped = placed.withColumn("_inc", F.when(step < 0, F.col("value")).otherwise(step))
-    edges = stepped.groupBy(*series, "bucket").agg(
-        F.coalesce(F.sum("_inc"), F.lit(0.0)).alias("_inside"),
-        F.min_by("value", F.struct("ts", "value")).alias("_first"),
-        F.max_by("value", F.struct("ts", "value")).alias("_last"),
+    span = F.window(F.col("ts").cast("timestamp"), bucket)
+    placed = samples.select(*series, span.alias("_w"), "ts", "value")
+    start, end = F.unix_micros("_w.start"), F.unix_micros("_w.end")
+    share = (F.unix_micros(F.col("ts").cast("timestamp")) - start) * slices / (end - start)
+    placed = placed.select(*series, F.col("_w.start").alias("bucket"), F.floor(share).alias("_slice"), "ts", "value")
+    inside = Window.partitionBy(*series, "bucket", "_slice").orderBy("ts", "value")
+    at = F.struct("ts", "value")
+    cut = placed.withColumn("_inc", _step("value", "value", inside)).groupBy(*series, "bucket", "_slice").agg(
+        F.coalesce(F.sum("_inc"), F.lit(0.0)).alias("_inside"), F.min_by("value", at).alias("_first"), F.max_by("value", at).alias("_last")
+    )
+    between = Window.partitionBy(*series, "bucket").orderBy("_slice")
+    edges = cut.withColumn("_jump", _step("_first", "_last", between)).groupBy(*series, "bucket").agg(
+        F.sum(F.col("_inside") + F.coalesce("_jump", F.lit(0.0))).alias("_inside"),
+        F.min_by("_first", "_slice").alias("_first"), F.max_by("_last", "_slice").alias("_last"),
     )
     across = Window.partitionBy(*series).orderBy("bucket")
-    jump = F.col("_first") - F.lag("_last").over(across)
-    joined = edges.withColumn("_jump", F.when(jump < 0, F.col("_first")).otherwise(jump))
+    joined = edges.withColumn("_jump", _step("_first", "_last", across))
     return joined.select(*series, "bucket", (F.col("_inside") + F.coalesce("_jump", F.lit(0.0))).alias("increase"))
 
 

@@ -11,6 +11,7 @@ from daftar.operators import fusion as X
 from daftar.operators import lexical as L
 from daftar.operators import planning as P
 from daftar.operators.ranking import with_payload
+from daftar.session import cut_lineage
 
 LIST = ["query_id", "list_id"]
 
@@ -23,6 +24,7 @@ def _search(searches: DataFrame, config: S.RetrievalConfig, index, corpus, vecto
             raise ValueError(f"config {config.name!r} needs vectors for the corpus and the queries")
         asked = searches.join(vectors, "question").select("query_id", "vector")
         column = S.EMBEDDING_COLUMNS[config.model_key]
+        options = {"dim": S.EMBEDDING_DIMS[config.model_key], **options}
         legs.append(D.dense_search(corpus, asked, config.depth, vector=column, **options))
     if config.lexical:
         if index is None:
@@ -35,7 +37,8 @@ def ranked_lists(plans: DataFrame, config: S.RetrievalConfig, index=None, corpus
     """Every list a plan asks for: (query_id, list_id, rank, chunk_id, score, source).
 
     ``index`` is :func:`block_index`; ``corpus`` has the model's vector column; ``vectors`` is
-    (question, vector) with each distinct search string embedded once.
+    (question, vector) with each distinct search string embedded once. Vectors of another length than
+    the model's fail the job; ``dim`` names another length.
     """
     searches = P.fan_out(plans).select(
         F.to_json(F.struct(*LIST)).alias("query_id"), "question"
@@ -47,7 +50,9 @@ def ranked_lists(plans: DataFrame, config: S.RetrievalConfig, index=None, corpus
 
 def retrieve(plans: DataFrame, config: S.RetrievalConfig, index=None, corpus=None, vectors=None, **options) -> DataFrame:
     """One list per query: a single search keeps its scores, several are fused."""
-    lists = ranked_lists(plans, config, index, corpus, vectors, **options)
+    # Stored: what follows reads the lists more than once, and with both legs in one plan with the
+    # second fusion Spark 4.1 reuses an exchange of one leg for the other (a test holds this).
+    lists = cut_lineage(ranked_lists(plans, config, index, corpus, vectors, **options))
     asked = plans.select("query_id", F.size("search_queries").alias("n_lists"))
     return X.fuse_plan(lists, limit=config.depth, keys=asked)
 
@@ -73,8 +78,10 @@ def ask(
     corpus: DataFrame | None = None,
     vectors: DataFrame | None = None,
     cached: DataFrame | None = None,
+    system: str | None = None,
+    **options,
 ) -> DataFrame:
-    """(query_id, register, status, prompt, answer) for a table of questions.
+    """(query_id, register, status, prompt, answer) for a table of questions; with ``system``, that part of the prompt too.
 
     The request's early exits are branches: ``cached`` answers are taken as they are, refused
     questions get their register's sentence, the rest get a prompt for a later generation job.
@@ -84,7 +91,7 @@ def ask(
     if cached is not None:
         open_plans = plans.join(cached.select("query_id"), "query_id", "left_anti")
     index = L.block_index(chunks) if index is None and config.lexical else index
-    hits = retrieve(open_plans, config, index, corpus, vectors)
+    hits = retrieve(open_plans, config, index, corpus, vectors, **options)
     context = to_context(open_plans, hits, chunks, config, scorer)
     gate = X.refusal_gate(open_plans, context, floor)
     prompts = X.build_prompts(
@@ -105,4 +112,6 @@ def ask(
             "query_id", "register", F.lit("hit").alias("status"), F.lit(None).cast("string").alias("prompt"), "answer"
         )
         result = result.unionByName(served)
+    if system is not None:
+        result = result.withColumn("system", F.when(F.col("prompt").isNotNull(), F.lit(system)))
     return result

@@ -289,3 +289,49 @@ def test_pieces_of_many_sections_are_numbered_in_seconds(spark):
         assert (piece.article, piece.seq) == (a, seen[a])
         seen[a] += 1
     assert found[1].p == [] and found[2].p is None
+
+
+def test_counter_of_a_hot_series_is_cut_into_slices(spark):
+    """A million samples of one series in one hour: the carry between slices, buckets and restarts is exact."""
+    from daftar.operators.opsmetrics import counter_increases
+
+    n = 1_000_000
+    second = F.floor(F.col("id") * 4800 / n)  # an hour and twenty minutes
+    samples = spark.range(n).select(
+        F.lit("a").alias("name"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 4800).alias("ts"),
+        (F.col("id") % 300_000).cast("double").alias("value"), second.alias("s"),
+    )
+    found = {r.bucket.minute + 60 * r.bucket.hour: r.increase for r in counter_increases(samples, ["name"]).collect()}
+    steps = [1.0 if i % 300_000 else 0.0 for i in range(n)]
+    split = n * 3600 // 4800
+    base = min(found)
+    assert found == {base: sum(steps[:split]), base + 60: sum(steps[split:])}
+    few = spark.createDataFrame([("a", "2024-01-01 00:00:00", 5.0), ("a", "2024-01-01 00:59:59", 9.0), ("a", "2024-01-01 02:00:00", 2.0), ("b", "2024-01-01 00:00:00", 1.0)],
+                                "name string, at string, value double").withColumn("ts", F.col("at").cast("timestamp"))
+    for slices in (1, 7, 256):
+        rows = sorted((r.name, r.increase) for r in counter_increases(few, ["name"], slices=slices).collect())
+        assert rows == [("a", 2.0), ("a", 4.0), ("b", 0.0)]
+
+
+def test_plan_vectors_of_another_length_fail(spark):
+    from daftar.plans import retrieval as R
+
+    chunks = spark.createDataFrame([("d:p:0", "d", None, 0, "some words", "some words")], "id string, doc_id string, article string, seq int, text string, text_normalized string")
+    corpus = spark.createDataFrame([("d:p:0", [1.0, 0.0])], "id string, emb_e5 array<double>")
+    asked = spark.createDataFrame([("q", "some words")], "query_id string, question string")
+    vectors = spark.createDataFrame([("some words", [1.0, 0.0])], "question string, vector array<double>")
+    config = S.RetrievalConfig.named("hybrid", model_key="e5")
+    with pytest.raises(Exception, match="expected 1024 dimensions, got 2"):
+        R.ask(asked, chunks, config, corpus=corpus, vectors=vectors).collect()
+    row = R.ask(asked, chunks, config, corpus=corpus, vectors=vectors, dim=2, system="s").first()
+    assert row.status == "to_generate" and row.system == "s" and "some words" in row.prompt
+
+
+def test_sections_keep_every_character(spark):
+    from daftar.operators.chunking import split_articles
+
+    body = "one \ufdd0 two \ufdd01 three\ufdd0"
+    text = f"before \ufdd00\n#1 {body}\n\ufdd0#2 no heading\n#3 last"
+    row = spark.createDataFrame([(text,), ("plain \ufdd0 text",)], "text string").select(split_articles("text", r"#([0-9])").alias("s")).collect()
+    assert [(s.article, s.body) for s in row[0].s] == [(None, "before \ufdd00\n"), ("1", f"#1 {body}\n\ufdd0#2 no heading\n"), ("3", "#3 last")]
+    assert [(s.article, s.body) for s in row[1].s] == [(None, "plain \ufdd0 text")]

@@ -197,3 +197,42 @@ def test_index_is_searched_without_an_exchange_below_the_lists(spark, corpus, tm
     assert L.lexical_search(index, queries.limit(0), 5).count() == 0
     empty = L.block_index(chunks.limit(0))
     assert L.lexical_search(empty, queries, 5).count() == 0 and L.lexical_search(empty, queries, 5, idf=True).count() == 0
+
+
+def test_hybrid_lists_are_fused_list_by_list(spark):
+    """Several hybrid lists of one question: each is fused from its legs first, then the lists are."""
+    from daftar import settings as S
+    from daftar.plans import retrieval as R
+
+    words = [f"w{i}" for i in range(12)]
+    rng = random.Random(3)
+    chunks = spark.createDataFrame([(f"c{i:02d}", " ".join(rng.choices(words, k=9))) for i in range(60)], "id string, text_normalized string")
+    near = np.random.default_rng(3).normal(size=(60, 4))
+    corpus = spark.createDataFrame([(f"c{i:02d}", [float(x) for x in v]) for i, v in enumerate(near)], "id string, emb_e5 array<double>")
+    searches = {"q": ["w1 w2 w3", "w1 w5"], "r": ["w4 w6"]}
+    plans = spark.createDataFrame([(q, some) for q, some in searches.items()], "query_id string, search_queries array<string>")
+    texts = [s for some in searches.values() for s in some]
+    vectors = spark.createDataFrame([(s, [float(x) for x in near[7 * i]]) for i, s in enumerate(texts)], "question string, vector array<double>")
+    config = S.RetrievalConfig.named("hybrid", model_key="e5", depth=10)
+    index = L.block_index(chunks)
+    found = R.retrieve(plans, config, index=index, corpus=corpus, vectors=vectors, dim=4)
+
+    def fused(lists):
+        score = Counter()
+        for one in lists:
+            for rank, c in enumerate(one, 1):
+                score[c] += 1 / (S.RRF_K + rank)
+        return [c for c, _ in sorted(score.items(), key=lambda x: (-round(x[1], 12), x[0]))[:10]]
+
+    for query, some in searches.items():
+        lists = []
+        for s in some:
+            i = texts.index(s)
+            one = spark.createDataFrame([("x", s)], "query_id string, question string")
+            lexical = [r.chunk_id for r in L.lexical_search(index, one, 10).orderBy("rank").collect()]
+            unit = near / np.linalg.norm(near, axis=1)[:, None]
+            scores = np.round(unit @ unit[7 * i], 12)
+            dense = [f"c{k:02d}" for k in np.lexsort((np.arange(60), -scores))[:10]]
+            lists.append(fused([dense, lexical]))
+        want = lists[0] if len(lists) == 1 else fused(lists)
+        assert [r.chunk_id for r in found.where(F.col("query_id") == query).orderBy("rank").collect()] == want
