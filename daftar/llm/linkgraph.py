@@ -22,7 +22,7 @@ from daftar.llm.common import Scratch, ascii_lower
 
 #: (action, host and path): a rule holds for the host and its subdomains. Fixed values.
 RULES = (
-    ("allow", "org/es/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
     ("allow", "com/fr/"), ("block", "com/de/"),
 )
 
