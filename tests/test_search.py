@@ -236,3 +236,36 @@ def test_hybrid_lists_are_fused_list_by_list(spark):
             lists.append(fused([dense, lexical]))
         want = lists[0] if len(lists) == 1 else fused(lists)
         assert [r.chunk_id for r in found.where(F.col("query_id") == query).orderBy("rank").collect()] == want
+
+
+def test_first_hits_are_sure_and_blocks_are_bounded(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(12)
+    corpus = vectors(spark, rng.normal(size=(900, 16)))
+    queries = asked(vectors(spark, rng.normal(size=(70, 16)), "q"))
+    index = V.write_index(corpus, str(tmp_path / "index"), cells=30)
+    assert len(index.books) == 8 and (index.off > 0).any()
+    want = D.dense_search(corpus, queries, 20)
+    # Three cells and three candidates lose most neighbours; the first two hits are right all the same.
+    found = V.approximate_search(index, queries, 3, probes=3, rescored=3, sure=2)
+    assert hits(found.where("rank <= 2")) == hits(want.where("rank <= 2"))
+    assert found.agg(F.max("candidates")).first()[0] <= 3
+    monkeypatch.setattr(V, "_MASK", 30 * 25)
+    sizes = [len(ids) for ids, _ in V._asked(index, queries, D.BROADCAST_VALUES, 20_000, 20)]
+    assert sum(sizes) == 70 and len(sizes) > 1 and max(sizes) < 60
+    assert hits(V.exact_search(index, queries, 20)) == hits(want)
+
+
+def test_passes_are_bounded_and_queries_made_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(D, "MOST_PASSES", 4)
+    rows = vectors(spark, np.random.default_rng(13).normal(size=(60, 4))).withColumnRenamed("embedding", "vector")
+    counted = rows.mapInArrow(seen, rows.schema)
+    blocks = list(D.query_blocks(counted, 0, 2))
+    assert len(blocks) == 4 and sum(map(len, blocks)) == 60
+    assert made.value <= 2 * 60  # once to be counted, once to be written
