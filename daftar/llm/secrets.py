@@ -64,18 +64,17 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
 
 
 def letter_pairs(docs: DataFrame) -> dict[str, float]:
-    """Log share of each pair of ASCII letters and digits in the words of all documents; at most 37 * 37 pairs.
+    """Log share of each pair of ASCII letters and digits in the words of all documents; at most 36 * 36 pairs.
 
-    Each word gives its first two, middle two and last two characters, which is enough to tell
-    which pairs words are made of.
+    Every place of every word counts. Equal words are one row before they are cut into pairs.
     """
-    word = F.explode(F.split(ascii_lower("text"), "[^a-z0-9]+")).alias("word")
-    texts = docs.select(word).where("length(word) >= 4")
-    spots = F.array(F.lit(1), F.floor(F.length("word") / 2).cast("int"), F.length("word") - 1)
-    counts = texts.select(F.explode(F.transform(spots, lambda k: F.substring("word", k, F.lit(2)))).alias("pair")).groupBy("pair").count()
-    rows = counts.collect()
-    total = sum(r["count"] for r in rows) or 1
-    return {r["pair"]: math.log(r["count"] / total) for r in rows}
+    words = docs.select(F.explode(F.split(ascii_lower("text"), "[^a-z0-9]+")).alias("word")).where("length(word) >= 2")
+    words = words.groupBy("word").agg(F.count("*").alias("n"))
+    places = F.sequence(F.lit(1), F.length("word") - 1)
+    pairs = words.select("n", F.explode(F.transform(places, lambda k: F.substring("word", k, F.lit(2)))).alias("pair"))
+    rows = pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    total = sum(r["n"] for r in rows) or 1
+    return {r["pair"]: math.log(r["n"] / total) for r in rows}
 
 
 def _share(value: Column, pattern: str) -> Column:

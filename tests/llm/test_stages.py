@@ -1,6 +1,9 @@
 """Pipeline stages at their edges: rows without an id, repeated ids, columns with clashing names, bounds passed."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -42,6 +45,29 @@ def test_near_copies_keep_one_of_each_component(spark):
     assert nearcopies.keep_one(documents(spark, [])).count() == 0
 
 
+def test_near_dedup_links_fingerprints_too(spark):
+    """Two repeated passages weigh far more than what differs: few bits apart, but few shingles in common."""
+    from daftar.llm import simhash
+
+    rng = random.Random(14)
+    often = words(rng, 11)  # an odd number of shingles: no bit is a tie
+    one, two = (" ".join([often] * 200) + " " + words(rng, 20) for _ in range(2))
+    rows = [(5, one), (2, two), (3, words(rng, 60))]
+    apart = {r.doc_id: r.component_id for r in nearcopies.near_copies(documents(spark, rows)).collect()}
+    assert apart[5] == 5  # not by their sets of shingles
+    near = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, rows), nearcopies.SHINGLE).collect()}
+    assert near == {5: 2, 2: 2, 3: 3}
+    assert sorted(r.doc_id for r in nearcopies.keep_one(documents(spark, rows)).collect()) == [2, 3]
+
+
+def test_letter_pairs_count_every_place(spark):
+    texts = ["abcdefgh ab xyz12 abcdefgh", None, "", "a-bc_ABC"]
+    pairs = [w[i : i + 2] for t in texts for w in re.split("[^a-z0-9]+", (t or "").lower()) for i in range(len(w) - 1)]
+    got = secrets.letter_pairs(documents(spark, list(enumerate(texts))))
+    assert {p: round(math.exp(x) * len(pairs)) for p, x in got.items()} == dict(Counter(pairs))
+    assert secrets.letter_pairs(documents(spark, [])) == {}
+
+
 def plain_components(sets):
     root = list(range(len(sets)))
 
