@@ -26,7 +26,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (0.8 on five-word shingles) stays, the one with the smallest doc_id."""
+    """One document of each component of near copies stays, the one with the smallest doc_id.
+
+    Links are SimHash fingerprints at 3 or fewer bits, and similarities of 0.8, both on five-word shingles.
+    """
     ship_package(spark)
     return nearcopies.keep_one(docs)
 
