@@ -335,3 +335,21 @@ def test_sections_keep_every_character(spark):
     row = spark.createDataFrame([(text,), ("plain \ufdd0 text",)], "text string").select(split_articles("text", r"#([0-9])").alias("s")).collect()
     assert [(s.article, s.body) for s in row[0].s] == [(None, "before \ufdd00\n"), ("1", f"#1 {body}\n\ufdd0#2 no heading\n"), ("3", "#3 last")]
     assert [(s.article, s.body) for s in row[1].s] == [(None, "plain \ufdd0 text")]
+
+
+def test_signatures_rule_out_no_pair(spark):
+    rng = random.Random(15)
+    pool = [f"t{i}" for i in range(400)]
+    texts = [rng.sample(pool, rng.randint(1, 120)) for _ in range(40)]
+    texts += [[w for w in t if rng.random() > 0.12] + rng.sample(pool, 3) for t in texts for _ in range(3)]
+    sets = {f"q{i}": set(t) for i, t in enumerate(texts)}
+    rows = spark.createDataFrame([(k, " ".join(t)) for k, t in zip(sets, texts, strict=True)], "query_id string, question string")
+    found = {(r.id, r.other) for r in A.near_duplicates(rows, 0.8).collect() if r.id != r.other}
+    first = {}
+    for k in sorted(sets):
+        first.setdefault(frozenset(sets[k]), k)
+    names = sorted(first.values())
+    want = {(a, b) for a in names for b in names if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    assert found == want and len(want) > 20
+    plan = A._jaccard_join(*[A._token_sets(rows, "query_id", F.col("question"))] * 2, 0.8, same=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" in plan and "tokens" not in plan.split("Join")[0]
