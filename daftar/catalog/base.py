@@ -83,8 +83,8 @@ class Tables:
         rows = spread(self.read("documents"))
         return rows.select(F.concat(F.lit("doc-"), "doc_id").alias("doc_id"), "text", "lang", "source")
 
-    def stored(self, df: DataFrame, name: str) -> DataFrame:
-        return stored(df, name, f"{self.sf_dir}/documents.parquet")
+    def stored(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        return stored(df, name, f"{self.sf_dir}/documents.parquet", **options)
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -102,9 +102,9 @@ class Tables:
 
     @cached_property
     def index(self) -> DataFrame:
-        from daftar.operators.lexical import block_index
+        from daftar.operators.lexical import FILE_OPTIONS, block_index
 
-        return self.stored(block_index(self.chunks, self.n_chunks), "blocks")
+        return self.stored(block_index(self.chunks), "blocks", **FILE_OPTIONS)
 
     @cached_property
     def vector_index(self):

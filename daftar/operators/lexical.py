@@ -27,6 +27,8 @@ BLOCK_CHUNKS = 1024
 INDEX_SCHEMA = (
     "block long, chunk_ids array<string>, terms array<string>, starts array<int>, chunks array<int>, counts array<int>, most array<int>"
 )
+# A row is some megabytes and a scan loads up to 4096 rows of a row group at once: these are few.
+FILE_OPTIONS = {"parquet.block.row.count.limit": "8"}
 # Weighted sums depend on the order of addition in their last bits; ten decimals make ties ties.
 _DECIMALS = 10
 
@@ -47,7 +49,7 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def _block(group: pa.Table) -> pa.Table:
-    """The index row of one block of (block, chunk_id, terms)."""
+    """The index row of one block of (chunk_id, terms)."""
     group = group.sort_by("chunk_id")  # local numbers go by chunk id, so that ties do
     lists = group["terms"].combine_chunks()
     chunk = pc.list_parent_indices(lists).to_numpy()
@@ -65,7 +67,6 @@ def _block(group: pa.Table) -> pa.Table:
 
     return pa.table(
         {
-            "block": group["block"][:1],
             "chunk_ids": pa.array([group["chunk_id"].to_pylist()], pa.list_(pa.string())),
             "terms": pa.array([words.dictionary.take(order).to_pylist()], pa.list_(pa.string())),
             "starts": ints(starts), "chunks": ints(keys % max(1, len(group))), "counts": ints(counts), "most": ints(most),
@@ -74,18 +75,24 @@ def _block(group: pa.Table) -> pa.Table:
 
 
 def block_index(chunks: DataFrame, n_chunks: int | None = None, block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
-    """The index of chunks (id, text_normalized), one row a block. Write it and search what was written.
+    """The index of chunks (id, text_normalized), one row a block. Write it with ``FILE_OPTIONS`` and search what was written.
 
-    Chunks are dealt into blocks by a hash of their id, which must be unique. A chunk without a
-    token has no posting; a null index form counts as one.
+    Chunks become blocks where they lie, up to ``block_chunks`` neighbours a block, so nothing is
+    shuffled or sorted and a task holds one block; ids must be unique. A chunk without a token has no
+    posting; a null index form counts as one. ``n_chunks`` is not needed any more.
     """
-    count = chunks.count() if n_chunks is None else n_chunks
-    blocks = max(1, -(-count // block_chunks))
     tokens = F.coalesce(T.lexical_tokens("text_normalized"), F.array().cast("array<string>"))
-    rows = chunks.select(
-        F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.col("id").cast("string").alias("chunk_id"), tokens.alias("terms")
-    )
-    return rows.groupBy("block").applyInArrow(_block, INDEX_SCHEMA)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = -(-batch.num_rows // block_chunks)
+            rows = -(-batch.num_rows // max(1, pieces))
+            for at in range(0, batch.num_rows, max(1, rows)):
+                yield from _block(pa.Table.from_batches([batch.slice(at, rows)])).to_batches()
+
+    rows = chunks.select(F.col("id").cast("string").alias("chunk_id"), tokens.alias("terms"))
+    found = rows.mapInArrow(blocks, INDEX_SCHEMA.removeprefix("block long, "))
+    return found.select(F.monotonically_increasing_id().alias("block"), "*")
 
 
 class _Asked:

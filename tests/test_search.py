@@ -199,6 +199,20 @@ def test_index_is_searched_without_an_exchange_below_the_lists(spark, corpus, tm
     assert L.lexical_search(empty, queries, 5).count() == 0 and L.lexical_search(empty, queries, 5, idf=True).count() == 0
 
 
+def test_index_is_built_without_an_exchange_in_small_row_groups(spark, corpus, tmp_path):
+    import pyarrow.parquet as pq
+
+    chunks, queries = corpus
+    built = L.block_index(spark.createDataFrame(chunks.collect() * 30, chunks.schema).coalesce(1).withColumn("id", F.concat("id", F.lit("-"), F.monotonically_increasing_id().cast("string"))), block_chunks=64)
+    assert "Exchange" not in built._jdf.queryExecution().executedPlan().toString()
+    built.write.options(**L.FILE_OPTIONS).parquet(str(tmp_path / "index"))
+    groups = [f.metadata.row_group(i).num_rows for f in map(pq.ParquetFile, (tmp_path / "index").glob("*.parquet")) for i in range(f.metadata.num_row_groups)]
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert max(groups) <= 8 < sum(groups) and sum(groups) == index.select("block").distinct().count()
+    assert index.agg(F.sum(F.size("chunk_ids"))).first()[0] == 30 * chunks.count()
+    assert index.agg(F.max(F.size("chunk_ids"))).first()[0] <= 64
+
+
 def test_hybrid_lists_are_fused_list_by_list(spark):
     """Several hybrid lists of one question: each is fused from its legs first, then the lists are."""
     from daftar import settings as S
