@@ -353,3 +353,21 @@ def test_signatures_rule_out_no_pair(spark):
     assert found == want and len(want) > 20
     plan = A._jaccard_join(*[A._token_sets(rows, "query_id", F.col("question"))] * 2, 0.8, same=True)._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_count" in plan and "tokens" not in plan.split("Join")[0]
+
+
+def test_windows_hold_few_documents_as_python_strings():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from daftar.operators import chunking as C
+
+    rng = random.Random(3)
+    texts = [" ".join("w" * rng.randint(1, 12) for _ in range(900)) for _ in range(1500)]
+    bodies = pa.array([None if i % 7 == 0 else [text] for i, text in enumerate(texts)], pa.list_(pa.string()))
+    tracemalloc.start()
+    found = C._window_udf(1400, 150).func(bodies)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < bodies.nbytes / 3
+    assert found.to_pylist() == [None if i % 7 == 0 else [C._windows(text, 1400, 150)] for i, text in enumerate(texts)]
