@@ -26,7 +26,7 @@ from daftar.session import checkpoint_dir
 
 # At most this many vector elements are broadcast at once (float64: eight bytes each).
 BROADCAST_VALUES = 16_000_000
-_TILE, _CONE = 1024, 512
+_TILE, _CONE, _ROWS_AT_ONCE = 1024, 512, 1024
 # At most this many passes over a corpus, as long as their blocks may be broadcast.
 MOST_PASSES = 64
 # Scores order at this many decimals, so copies of a vector tie whichever block they fall in.
@@ -153,6 +153,13 @@ def query_blocks(queries: DataFrame, values: int, block_rows: int) -> Iterator[p
         yield stored.where(F.col("_block") == number).drop("_block").toArrow().to_pandas()
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, so few at a time that their doubles and names stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS_AT_ONCE):
+            yield batch.slice(at, _ROWS_AT_ONCE)
+
+
 def _block_search(local: pd.DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """One pass of the corpus, where it lies, past a block of queries."""
     unit, alive = _unit(_stack(local["vector"]))
@@ -162,9 +169,7 @@ def _block_search(local: pd.DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, scopes, unit = shared.value
         best = {s: Best(ids[scopes == s], unit[scopes == s], k) for s in np.unique(scopes)}
-        for batch in batches:
-            if not batch.num_rows or not best:
-                continue
+        for batch in _pieces(batches) if best else ():
             names, where = (np.asarray(batch.column(i).to_pylist(), dtype=str) for i in (0, 1))
             vectors, alive = _unit(to_matrix(batch.column(2)))
             names, where = names[alive], where[alive]

@@ -371,3 +371,12 @@ def test_windows_hold_few_documents_as_python_strings():
     tracemalloc.stop()
     assert peak < bodies.nbytes / 3
     assert found.to_pylist() == [None if i % 7 == 0 else [C._windows(text, 1400, 150)] for i, text in enumerate(texts)]
+
+
+def test_dense_search_takes_few_rows_of_a_batch_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"id": list(range(5000))})
+    pieces = list(D._pieces(iter([batch, batch.slice(0, 0), batch.slice(0, 10)])))
+    assert max(p.num_rows for p in pieces) == D._ROWS_AT_ONCE
+    assert [i for p in pieces for i in p.column(0).to_pylist()] == [*range(5000), *range(10)]
