@@ -138,3 +138,11 @@ def test_html(spark):
     pages = spark.createDataFrame([(1, page), (2, None)], "id int, html string")
     got = {r.id: r.text for r in H.strip_html(pages).collect()}
     assert got[1] == "a & b\nc\nd ef"
+
+
+def test_foreign_characters_are_found_without_a_match_for_each(spark):
+    texts = ["", None, "plain\n", "\u00e9t\u00e9 \u00e9", "a\U0001f600b\u4e2d\U0001f600", "\u4e2d" * 5000, "\u0645\u0627\u062f\u0629 \x00\x7f"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").select("n", T.foreign_characters("text").alias("f"))
+    assert "regexp_extract_all" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.n: r.f for r in rows.collect()}
+    assert [found[i] for i in range(7)] == [[], None, [], ["\u00e9"], ["\U0001f600", "\u4e2d"], ["\u4e2d"], ["\x00", "\x7f"]]
