@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daftar.llm.common import slices
+from daftar.llm.common import KEPT, let_go, slices
 
 _LONG = 192
 _BLOCK = 4_000_000  # sum of squared word lengths in one recursive query: bounds what it keeps
@@ -223,18 +223,16 @@ class Codec:
                 self.words[word] = (len(row), " ".join(map(str, row)), raw)
 
 
-_kept: dict[str, Codec] = {}
+_kept: dict[str, Codec] = KEPT
 
 
 def worker_codec(call: str, given) -> Codec:
-    """The codec of a call, kept from task to task by the worker; one of an earlier call is closed.
+    """The codec of a call, kept from task to task by the worker; one of an earlier call is closed, and any by another operator's task.
 
     What it remembers is bounded, and a lost worker only loses time.
     """
     if call not in _kept:
-        for old in _kept.values():
-            old.close()
-        _kept.clear()
+        let_go()
         _kept[call] = Codec(*given.value)
     return _kept[call]
 

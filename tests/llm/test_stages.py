@@ -192,3 +192,17 @@ def test_a_group_that_grows_past_the_prior_keeps_its_verdicts(spark):
     few = {r.doc_id: r.distance for r in quality.verdicts(spark.createDataFrame(body + own[:199], shape)).collect()}
     more = {r.doc_id: r.distance for r in quality.verdicts(spark.createDataFrame(body + own, shape)).collect()}
     assert all(abs(few[k] - more[k]) <= 0.15 * few[k] + 0.3 for k in few)
+
+
+def test_what_a_worker_kept_is_closed_for_other_tasks():
+    from daftar.llm.common import KEPT, let_go
+
+    class Held:
+        closed = False
+
+        def close(self):
+            self.closed = True
+
+    held = KEPT["call"] = Held()
+    let_go()
+    assert held.closed and not KEPT and bpe._kept is KEPT
