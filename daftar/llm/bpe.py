@@ -31,7 +31,7 @@ from daftar.llm.common import KEPT, let_go, slices
 
 _LONG = 192
 _BLOCK = 4_000_000  # sum of squared word lengths in one recursive query: bounds what it keeps
-_MOST_WORDS = 250_000  # words met lately that a worker remembers, besides as many of those before them
+_MOST_WORDS = 100_000  # words met lately that a worker remembers, besides as many of those before them
 #: White space of Unicode, as the pattern's \s has it. Fixed values.
 _SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 

@@ -6,6 +6,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from daftar.llm import bpe, decontaminate, nearcopies, quality, secrets
@@ -206,3 +208,19 @@ def test_what_a_worker_kept_is_closed_for_other_tasks():
     held = KEPT["call"] = Held()
     let_go()
     assert held.closed and not KEPT and bpe._kept is KEPT
+
+
+def test_whole_texts_reach_python_in_small_batches(spark):
+    from daftar.session import BATCH_BYTES, ship_package
+
+    ship_package(spark)
+    texts = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('word ', 2000) AS text")
+    sizes = texts.mapInArrow(lambda parts: (pa.RecordBatch.from_pydict({"n": [p.nbytes]}) for p in parts), "n long").collect()
+    # 30 MB in one task came as one batch
+    assert len(sizes) > 5 and max(r.n for r in sizes) < 1.5 * BATCH_BYTES
+
+    @F.pandas_udf("long")
+    def rows(texts):
+        return pd.Series([len(texts)] * len(texts))
+
+    assert texts.select(rows("text").alias("n")).agg(F.max("n")).first()[0] < 1000
