@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 from collections.abc import Iterator
 from decimal import Decimal
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from daftar import settings as S
 from daftar.functions.text import estimate_tokens
 from daftar.operators.ordered import running_totals
+from daftar.session import checkpoint_dir, cut_lineage, within_rows
 
 
 def usage_cost(input_tokens, output_tokens, price_in, price_out) -> Column:
@@ -83,35 +85,79 @@ def answer_estimate(prompts: DataFrame, price_in: float, price_out: float) -> Da
 # --- ordered admission ------------------------------------------------------------------------
 
 
-def _admission_fold(limit: int, window_us: int):
+#: A key that never pauses is read in pieces of about this many requests.
+PIECE_ROWS = 1_000_000
+_WALKED = ["_key", "_segment", "_piece"]
+
+
+def _admission_fold(limit: int, window_us: int, carried: bool = False):
+    """Verdicts of the requests; with ``carried``, the accepted times that still count where each piece ends."""
+
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, kept = None, deque()
+        current, kept, ended = None, deque(), []
         for frame in frames:
             verdicts = []
-            for key, segment, at, warm in zip(frame["_key"], frame["_segment"], frame["_us"], frame["_warm"]):
-                if (key, segment) != current:
-                    current, kept = (key, segment), deque()
+            for key, segment, piece, at, warm in zip(*(frame[c] for c in (*_WALKED, "_us", "_warm"))):
+                if (key, segment, piece) != current:
+                    ended += [(*current, t) for t in kept] if carried and current else []
+                    current, kept = (key, segment, piece), deque()
                 while kept and at - kept[0] >= window_us:
                     kept.popleft()
                 admitted = warm or len(kept) < limit
                 if admitted:
                     kept.append(at)
                 verdicts.append(admitted)
-            frame = frame.assign(accepted=verdicts)
-            yield frame.loc[~frame["_warm"], ["event_id", "accepted"]]
+            if not carried:
+                frame = frame.assign(accepted=verdicts)
+                yield frame.loc[~frame["_warm"], ["event_id", "accepted"]]
+        if carried:
+            ended += [(*current, t) for t in kept] if current else []
+            yield pd.DataFrame(ended, columns=[*_WALKED, "_us"])
 
     return fold
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_WALKED).sortWithinPartitions(*_WALKED, "_us", "event_id")
+
+
+def _carried(rows: DataFrame, pieces: int, limit: int, window_us: int) -> list[DataFrame]:
+    """The accepted times that count where each further piece of a segment begins, as warm rows of that piece.
+
+    Pieces of one segment are walked one after another, those of all segments together; only their
+    times are stored, a folder for each number of piece, and a step reads one folder.
+    """
+    spark = rows.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/pieces-{uuid.uuid4().hex}"
+    rows.repartition(*_WALKED).write.partitionBy("_piece").parquet(path)
+    stored = spark.read.schema(rows.schema).parquet(path)
+    found: list[DataFrame] = []
+    for number in range(pieces - 1):
+        mine = stored.where(F.col("_piece") == number).select(*rows.columns)
+        mine = mine.unionByName(found[-1]) if found else mine
+        ended = _in_order(mine).mapInPandas(
+            _admission_fold(limit, window_us, carried=True), "_key string, _segment long, _piece long, _us long"
+        )
+        after = ended.select(
+            F.lit(None).cast("long").alias("event_id"), "_key", "_us", "_segment", (F.col("_piece") + 1).alias("_piece"), F.lit(True).alias("_warm")
+        )
+        found.append(cut_lineage(after))
+    return found
+
+
 def sliding_window_admission(
-    requests: DataFrame, limit: int, window_s: int = S.RATE_WINDOW_S, key: str = "user_id"
+    requests: DataFrame, limit: int, window_s: int = S.RATE_WINDOW_S, key: str = "user_id", piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """(event_id, accepted): accept while fewer than ``limit`` accepted requests are under a window old.
 
     The rule is sequential per key, but it forgets: where two neighbouring window-sized slots
     together hold at most ``limit`` requests, the second was accepted whole, so the state after it
-    is known. Keys are cut at those points and the pieces run in parallel, each warmed up with
-    the slot before it. A piece is read in order with a state of at most ``limit`` times.
+    is known. Keys are cut at those points and the segments run in parallel, each warmed up with
+    the slot before it.
+
+    A segment of more than ``piece_rows`` requests is cut between slots into pieces of about that
+    many. First the state is carried from piece to piece, at most ``limit`` times, by a job for each
+    number of piece; then all pieces run in parallel. So a task holds a piece, or a slot if one has more.
     """
     if limit <= 0:
         return requests.select("event_id", F.lit(True).alias("accepted"))
@@ -131,12 +177,20 @@ def sliding_window_admission(
     slots = slots.withColumn("_starts", starts).withColumn("_warms", F.coalesce(adjacent, F.lit(False)) & starts)
     # cut points numbered along the key: the input is one row per slot, not per request
     slots = slots.withColumn("_segment", F.max(F.when(F.col("_starts"), F.col("_slot"))).over(by_key))
-    placed = timed.join(slots.select("_key", "_slot", "_segment"), ["_key", "_slot"]).withColumn("_warm", F.lit(False))
-    warmups = slots.where("_warms").select("_key", (F.col("_slot") - 1).alias("_slot"), "_segment")
+    so_far = F.sum("_n").over(Window.partitionBy("_key", "_segment").orderBy("_slot")) - F.col("_n")
+    slots = slots.withColumn("_piece", F.floor(so_far / piece_rows))
+    placed = timed.join(slots.select("_key", "_slot", "_segment", "_piece"), ["_key", "_slot"]).withColumn("_warm", F.lit(False))
+    warmups = slots.where("_warms").select("_key", (F.col("_slot") - 1).alias("_slot"), "_segment", "_piece")
     warm = timed.join(warmups, ["_key", "_slot"]).withColumn("_warm", F.lit(True))
-    both = placed.unionByName(warm.select(*placed.columns))
-    ordered = both.repartition("_key", "_segment").sortWithinPartitions("_key", "_segment", "_us", "event_id")
-    return ordered.mapInPandas(_admission_fold(limit, window_us), "event_id long, accepted boolean")
+    columns = ["event_id", "_key", "_us", "_segment", "_piece", "_warm"]
+    both = placed.select(*columns).unionByName(warm.select(*columns))
+    pieces = 1 if within_rows(requests, piece_rows) else slots.agg(F.max("_piece")).first()[0] + 1
+    if pieces > 1:
+        long = slots.where("_piece > 0").select("_key", "_segment").distinct()
+        walked = both.join(long, ["_key", "_segment"], "left_semi").select(*columns)
+        for carried in _carried(walked, pieces, limit, window_us):
+            both = both.unionByName(carried)
+    return _in_order(both).mapInPandas(_admission_fold(limit, window_us), "event_id long, accepted boolean")
 
 
 _MONEY = "decimal(38,12)"  # a price has six decimals and a token is a millionth

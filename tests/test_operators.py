@@ -2,7 +2,7 @@
 
 import random
 import time
-from collections import Counter, deque
+from collections import deque
 from decimal import Decimal
 
 import pytest
@@ -119,6 +119,25 @@ def test_admission_matches_brute_force_on_one_hot_key(spark, limit, span):
     assert [got[r.event_id] for r in ordered] == want
 
 
+@pytest.mark.parametrize("limit,span,keys", [(3, 3600, 1), (2, 900, 2), (1, 60, 1)])
+def test_admission_of_a_key_without_pause_runs_in_pieces(spark, limit, span, keys):
+    events = spark.read.parquet(f"{SF}/events.parquet").withColumn("k", F.col("event_id") % keys)
+    # dense: the month in a few hours, several requests at one time
+    events = events.withColumn("ts", F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 100_000_000) * 1_000_000))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    found = G.sliding_window_admission(events, limit, span, key="k", piece_rows=50)
+    rows = found.withColumn("part", F.spark_partition_id()).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {r.event_id: r.accepted for r in rows}
+    us = F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
+    for k in range(keys):
+        ordered = events.where(F.col("k") == k).select("event_id", us).orderBy("us", "event_id").collect()
+        assert [got[r.event_id] for r in ordered] == brute_admission([r.us for r in ordered], limit, span * 1_000_000)
+    assert len(got) == len(rows) == events.count()
+    # one task had every request of a key before
+    assert len({r.part for r in rows if r.event_id % keys == 0}) > 1
+
+
 def test_daily_admission_agrees_with_the_walk(spark):
     events = spark.read.parquet(f"{SF}/events.parquet")
     holds = events.select("event_id", "ts", F.col("event_id").alias("request_id"), F.lit("reserve").alias("kind"), F.col("value").alias("usd"))
