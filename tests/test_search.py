@@ -283,3 +283,18 @@ def test_passes_are_bounded_and_queries_made_once(spark, monkeypatch):
     blocks = list(D.query_blocks(counted, 0, 2))
     assert len(blocks) == 4 and sum(map(len, blocks)) == 60
     assert made.value <= 2 * 60  # once to be counted, once to be written
+
+
+def test_payload_of_few_hits_shuffles_no_text(spark):
+    from daftar.operators.ranking import with_payload
+
+    chunks = spark.range(3000).select(
+        F.concat(F.lit("c"), "id").alias("id"), F.lit("d").alias("doc_id"), F.lit(None).cast("string").alias("article"), F.repeat(F.lit("x"), 50).alias("text")
+    )
+    hits = spark.range(500).select(F.concat(F.lit("q"), F.col("id") % 7).alias("query_id"), F.concat(F.lit("c"), F.col("id") % 90).alias("chunk_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    few, many = with_payload(hits, chunks), with_payload(hits, chunks, broadcast_rows=10)
+    plans = [p._jdf.queryExecution().executedPlan().toString() for p in (few, many)]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange hashpartitioning" not in plans[0] and "Exchange hashpartitioning" in plans[1]
+    assert few.count() == 500 and few.exceptAll(many).isEmpty()
