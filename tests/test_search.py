@@ -298,3 +298,11 @@ def test_payload_of_few_hits_shuffles_no_text(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Exchange hashpartitioning" not in plans[0] and "Exchange hashpartitioning" in plans[1]
     assert few.count() == 500 and few.exceptAll(many).isEmpty()
+
+
+def test_gold_is_found_once_for_all_cells(spark):
+    from daftar.catalog.base import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    plan = tables.qrels._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
