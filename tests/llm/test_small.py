@@ -379,6 +379,16 @@ def test_fingerprints_and_anchors(spark):
         assert {(r.low, r.high) for r in found.collect()} == want
 
 
+def test_replicas_are_not_broadcast(spark):
+    # Stored fingerprints, so that Spark knows the size of the rows before the replicas are made.
+    stored = simhash.Scratch(spark, "t").put(spark.range(3000).select(F.xxhash64("id").alias("fingerprint")), "marks")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    found = simhash.links(stored)
+    assert found.count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 502), (500, 502)], "low long, high long")
     got = {r.node: r.root for r in simhash.components(edges, simhash.Scratch(spark, "t")).collect()}
