@@ -38,15 +38,18 @@ SECTION_TYPE = "array<struct<article:string,body:string>>"
 _MARK = "\ufdd0"
 
 
-def split_articles(text, heading: str = ARABIC_HEADING) -> Column:
+def split_articles(text, heading: str = ARABIC_HEADING, decor: str = _DECOR, blank: str = T.SPACE) -> Column:
     """Array of (article, body) sections in order; article NULL for text before the first heading.
 
     ``heading`` must capture the article number in group 1. Headings start their line; a heading
-    with nothing under it yields no section.
+    with nothing under it yields no section, and neither does a NULL or blank text. ``decor`` are
+    the characters that may stand before a heading, ``blank`` those that are nothing; either goes
+    into a character class.
     """
     # Decoration before a heading stays with what precedes it, however long it is. A cut is the mark
     # and a one; marks of the text itself are a mark and a zero until the cutting is done.
-    starts = rf"(?md)^([{_DECOR}]*+)(?={heading})"
+    before = f"[{decor}]*+" if decor else ""
+    starts = rf"(?md)^({before})(?={heading})"
     at_head = rf"(?d)\A(?:{heading})"
 
     def section(part: Column) -> Column:
@@ -54,7 +57,7 @@ def split_articles(text, heading: str = ARABIC_HEADING) -> Column:
         return F.struct(F.nullif(number, F.lit("")).alias("article"), part.alias("body"))
 
     def kept(part: Column) -> Column:
-        return ~T.is_blank(F.regexp_replace(part, at_head, ""))
+        return F.regexp_replace(part, at_head, "").rlike(f"[^{blank}]")
 
     text = T._col(text)
     own, cut = F.lit(_MARK + "0"), _MARK + "1"
@@ -62,8 +65,9 @@ def split_articles(text, heading: str = ARABIC_HEADING) -> Column:
     parts = F.transform(parts, lambda part: F.replace(part, own, F.lit(_MARK)))
     headed = F.transform(F.filter(parts, kept), section)
     whole = F.array(F.struct(F.lit(None).cast("string").alias("article"), text.alias("body")))
+    nothing = F.array().cast(SECTION_TYPE)
     # Most documents have no heading; one anchored scan spares them the splitting.
-    return F.when(text.rlike(f"(?md)^(?:{heading})"), headed).otherwise(whole)
+    return F.when(text.rlike(rf"(?md)^{before}(?:{heading})"), headed).when(text.rlike(f"[^{blank}]"), whole).otherwise(nothing)
 
 
 _BREAK = re.compile(r"\s")

@@ -53,3 +53,23 @@ def test_html_edges(spark):
     }
     frame = spark.createDataFrame([(p,) for p in pages], "html string")
     assert {r.html: r.text for r in strip_html(frame).collect()} == pages
+
+
+def test_sections_of_odd_documents_agree_with_their_sql(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from daftar.catalog import ORACLES, QUERIES
+
+    texts = [None, "", " ", "\n\t ", " ", "\r\n", "The", "The\r\nbody", "  The x\nb", "a\n\tAb x", "﻿The x", "a\n­The x", "The  \nb", "plain\n", "The\n\nAb x\n"]
+    none = [None] * len(texts)
+    rows = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "lang": pa.array(none, pa.string()), "source": pa.array(none, pa.string())})
+    pq.write_table(rows, tmp_path / "documents.parquet")
+    got = QUERIES["split_articles"](spark, str(tmp_path)).select("doc_id", "pos", "article", "n_chars").collect()
+    with duckdb.connect() as base:
+        base.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet')")
+        want = base.execute(f"SELECT doc_id, pos, article, n_chars FROM ({ORACLES['split_articles']}) r").fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(want) > 10
+    empty = spark.createDataFrame([(t,) for t in (None, "", " \n", " ")], "t string").select(split_articles("t").alias("s"))
+    assert [r.s for r in empty.collect()] == [[], [], [], []]
