@@ -32,6 +32,7 @@ _SPANS = [len(m) for m in MASKS]
 _SHORTEST = 11
 _FACTORS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(32)], np.uint64)
 FILTER_BITS = 26
+_SEEDS = 100_000  # no more rows of the seed index than this are broadcast
 
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else (c if c >= 128 or chr(c).isalnum() else 32) for c in range(256)
@@ -232,7 +233,9 @@ def overlaps(
     )
     hits = stretches.select("doc_id", "first", F.size("stretch").alias("size"), F.explode(F.arrays_zip("seeds", "places")).alias("h"))
     hits = hits.select("doc_id", "first", "size", F.col("h.seeds").alias("seed"), F.col("h.places").alias("place"))
-    pairs = hits.join(index, "seed").select("doc_id", "first", "size", "item_id", (F.col("place") - F.col("at")).alias("diagonal"))
+    # Spark sizes the hits as the stretches they come from; broadcast is the index, where it is small, or nothing.
+    known_seeds = F.broadcast(index) if index.count() <= _SEEDS else index.hint("merge")
+    pairs = hits.join(known_seeds, "seed").select("doc_id", "first", "size", "item_id", (F.col("place") - F.col("at")).alias("diagonal"))
     pairs = pairs.distinct()
     known = ["doc_id", "first", "size"]
     both_sides = pairs.join(stretches.withColumn("size", F.size("stretch")).select(*known, "stretch"), known).join(items, "item_id")

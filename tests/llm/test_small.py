@@ -599,3 +599,21 @@ def test_masks_lose_no_overlap():
             for shift in range(length - mask.bit_length() + 1):
                 left = left[left & (mask << shift) != 0]
         assert not len(left)
+
+
+def test_hits_are_not_broadcast(spark):
+    # More items than a document has: Spark takes the exploded hits for the smaller side.
+    rng = random.Random(31)
+    items = [sentence(rng, 30) for _ in range(300)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.overlaps(documents(spark, [" ".join([items[3]] * 50), "x y z"]), benchmark)
+    sides, at = [], None
+    for line in found._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-"))
+        at = None if at is not None and depth <= at else at
+        if "BroadcastExchange" in line:
+            at = depth
+        elif at is not None:
+            sides.append(line)
+    assert sides and not any("Generate" in line for line in sides)
+    assert rows_of(found, "doc_id", "item_id") == [(0, 3)]
