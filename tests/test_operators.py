@@ -399,3 +399,27 @@ def test_dense_search_takes_few_rows_of_a_batch_at_a_time():
     pieces = list(D._pieces(iter([batch, batch.slice(0, 0), batch.slice(0, 10)])))
     assert max(p.num_rows for p in pieces) == D._ROWS_AT_ONCE
     assert [i for p in pieces for i in p.column(0).to_pylist()] == [*range(5000), *range(10)]
+
+
+def test_sets_that_only_share_rare_tokens_are_never_paired(spark):
+    rng = random.Random(16)
+    sizes = [3, 5, 40, 60, 200, 230, 900, 1100, 2400, 2900]
+    sets = [{f"w{k}_{i}" for i in range(n - 2)} | {"rare", f"common{k % 3}"} for k, n in enumerate(sizes)]
+    sets += [set(rng.sample(sorted(s), len(s) - len(s) // 20)) | {"new"} for s in sets[2:]]
+    rows = spark.createDataFrame([(f"q{i:02}", " ".join(sorted(s))) for i, s in enumerate(sets)], "query_id string, question string")
+    rows = rows.repartition(3)
+    near = lambda x, y: 10 * len(x & y) >= 8 * len(x | y)
+    want = {(f"q{i:02}", f"q{j:02}") for j in range(len(sets)) for i in range(j) if near(sets[i], sets[j])}
+    found = A.near_duplicates(rows, 0.8)
+    assert {(r.id, r.other) for r in found.collect()} == want and len(want) == 8
+    one = A._token_sets(rows, "query_id", F.col("question"))
+    plan = A._jaccard_join(one, one, 0.8, same=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2  # those that fetch what candidates are compared by; prefixes are not joined
+    # Both sides, in batches so small that rows of one token are dealt over many.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        other = A._token_sets(rows.select(F.concat(F.lit("s"), "query_id").alias("query_id"), "question"), "query_id", F.col("question"))
+        across = {(r.id, r.other[1:]) for r in A._jaccard_join(one, other, 0.8, same=False).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    assert across == want | {(b, a) for a, b in want} | {(f"q{i:02}",) * 2 for i in range(len(sets))}
