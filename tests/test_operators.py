@@ -423,3 +423,21 @@ def test_sets_that_only_share_rare_tokens_are_never_paired(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     assert across == want | {(b, a) for a, b in want} | {(f"q{i:02}",) * 2 for i in range(len(sets))}
+
+
+def test_sentences_that_repeat_no_question_are_not_shuffled(spark):
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(60)]
+    asked = [rng.sample(words, rng.randint(1, 12)) for _ in range(30)] + [["same", "twice"]] * 2 + [[]]
+    said = [rng.sample(a, max(1, len(a) - k)) + rng.sample(words, k) for a in asked[:-1] for k in (0, 1, 2)]
+    said += [rng.sample(words, rng.randint(1, 15)) for _ in range(200)] + said[:9] + [["twice", "same", "same"]]
+    questions = spark.createDataFrame([(f"q{i}", " ".join(a)) for i, a in enumerate(asked)], "query_id string, question string")
+    texts = [". ".join(" ".join(s) for s in said[at : at + 4]) for at in range(0, len(said), 4)]
+    chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "id string, text string")
+    sent, joined = A.leakage(questions, chunks), A.leakage(questions, chunks, broadcast_tokens=0)
+    got = sorted((r.id, r.sentence_id, round(r.jaccard, 9), r.pairs) for r in sent.collect())
+    assert got == sorted((r.id, r.sentence_id, round(r.jaccard, 9), r.pairs) for r in joined.collect())
+    sides = {tuple(sorted(set(a))) for a in asked}, {tuple(sorted(set(s))) for s in said}
+    assert len(got) == sum(5 * len(set(a) & set(s)) >= 3 * len(set(a) | set(s)) for a in sides[0] for s in sides[1] if a and s) > 30
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
