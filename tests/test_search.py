@@ -306,3 +306,26 @@ def test_gold_is_found_once_for_all_cells(spark):
     tables = Tables(spark, "/root/testdata/sf0.001")
     plan = tables.qrels._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
+
+
+def test_few_scores_are_taken_exactly(monkeypatch):
+    import numpy as np
+
+    from daftar.operators.dense import Best
+
+    rng = np.random.default_rng(23)
+    vectors = rng.normal(size=(3000, 16))
+    vectors[2000:2100] = vectors[:100]  # copies, in other blocks
+    vectors /= np.sqrt((vectors * vectors).sum(axis=1))[:, None]
+    names, asked = np.array([f"v{i:04}" for i in range(3000)]), vectors[::7] + vectors[1::7][: len(vectors[::7])]
+    asked /= np.sqrt((asked * asked).sum(axis=1))[:, None]
+    taken, take = [], Best.take
+    monkeypatch.setattr(Best, "take", lambda self, names, scores, *rest: (taken.append(np.size(scores)), take(self, names, scores, *rest)))
+    best = Best(np.arange(len(asked)).astype(str), asked, 5)
+    for at in range(0, 3000, 300):
+        best.feed(names[at : at + 300], vectors[at : at + 300])
+    scores = np.round(asked @ vectors.T, 12)
+    want = [sorted(range(3000), key=lambda i: (-round(row[i], 9), names[i]))[:5] for row in scores]
+    assert [list(row) for row in best.names] == [list(names[row]) for row in want]
+    assert np.abs(best.scores - np.array([scores[q][row] for q, row in enumerate(want)])).max() < 1e-11
+    assert sum(taken) < 0.03 * scores.size
